@@ -1,8 +1,63 @@
-"""Corpus pipeline: quality filter, line dedup, near-dedup, source mixing, packing."""
+"""Corpus pipeline: quality filter, line dedup, near-dedup, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``docs``. A stage works on everything that its predecessor
+kept. SQL cannot express the classifier, so the rows have no oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailrank.llm import linededup, minhash, mixing, packing, quality
+from trailrank.llm._store import cut
+
+#: Documents whose quality score is lower are rejected.
+LEAST_QUALITY = 0.5
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte classifier scores at ``LEAST_QUALITY`` or more."""
+    net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, net).where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that 10 documents or more hold; n_chars follows."""
+    return _with_length(linededup.dedup_lines(docs).select(docs.columns))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (similarity 0.8 or more): the one with the least id."""
+    kept = cut(minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id"), "kept")
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    repeated = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source targets take them."""
+    return _with_length(mixing.apply_mix(docs, mixing.mix(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", filter_quality), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another on ``documents``, each one's rows written before the next begins."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
