@@ -79,9 +79,15 @@ def chunks(raw: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES) -> Itera
 
 def hash_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, index of each document's first word; n+1 entries)."""
+    words, bounds, _ = hash_words_and_prefixes(raw, offs, ())
+    return words, bounds
+
+
+def hash_words_and_prefixes(raw: np.ndarray, offs: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hash_words``, and for each length the hash of each word's first bytes (0 where the word is not longer)."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros((len(lengths), 0), np.uint64)
     solid = ~_SPACE[raw]
     head = np.zeros(n + 1, dtype=bool)
     head[offs] = True
@@ -95,7 +101,12 @@ def hash_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sums[0] = 0
     np.cumsum(_VALUES[raw] * powers[:n], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * inverses[starts])
-    return words, np.searchsorted(starts, offs)
+    prefixes = np.zeros((len(lengths), len(starts)), np.uint64)
+    for k, length in enumerate(lengths):
+        longer = np.flatnonzero(ends - starts > length)
+        at = starts[longer]
+        prefixes[k, longer] = mix((sums[at + length] - sums[at]) * inverses[at] + _U(length))
+    return words, np.searchsorted(starts, offs), prefixes
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
