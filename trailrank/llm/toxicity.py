@@ -27,6 +27,8 @@ TRAIN_ROWS, TRAIN_BYTES = 6000, 32_768
 STEPS, PENALTY = 300, 6e-4
 #: Penalty of the second fit, on the words that the first one left.
 LAST_PENALTY = 3e-5
+#: P(grade > 0) from which a text counts as toxic.
+TOXIC = 0.25
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (5, 6, 7, 8)
 #: Words in fewer sample texts are no features.
@@ -156,11 +158,11 @@ def severity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic) for every row.
 
     ``severity`` is the expected grade (0 to 3), ``p_toxic`` P(grade > 0), ``grade``
-    the number of thresholds passed at even odds, ``toxic`` whether grade > 0.
+    the number of thresholds passed at even odds, ``toxic`` whether p_toxic is at least ``TOXIC``.
     Whole texts count; a null or empty text has no words and gets the base rate.
     Rows with a null id are scored. Extra columns are ignored.
     """
     model = train(documents, labels)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(sent), "doc_id long, severity double, p_toxic double, grade int").withColumn("toxic", F.col("grade") > 0)
+    return rows.mapInArrow(_score(sent), "doc_id long, severity double, p_toxic double, grade int").withColumn("toxic", F.col("p_toxic") >= TOXIC)
