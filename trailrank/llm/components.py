@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from trailrank.llm._store import cut, drop
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edge table (u, v): label is the least node reachable.
 
@@ -25,18 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     empty edge table gives an empty result.
     """
     edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _fingerprint(edges)
-    while state[0]:
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top")), "low")
+        if low.where("top > u AND m < u").isEmpty():  # only stars are left
+            return low.select(F.col("u").alias("node"), F.col("m").alias("label"))
+        large = both.where("v > u").join(low.select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(hung.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
         drop(low, edges)
-        edges, before, state = after, state, _fingerprint(after)
-        if state == before:
-            break
-    low = edges.groupBy("u").agg(F.min("v").alias("label"))
-    nodes = low.select(F.col("u").alias("node"), "label")
-    return nodes.unionByName(low.select(F.col("label").alias("node"), "label").distinct())
+        edges = after

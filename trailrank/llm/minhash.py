@@ -35,7 +35,7 @@ from trailrank.llm.components import components
 BANDS, ROWS, BATCH = 24, 6, 24
 N_HASHES = BANDS * ROWS
 #: Members of one block in a task that compares a ball or a bucket.
-BLOCK = 512
+BLOCK = 192
 #: Node ids up to this number (16 bytes each) are broadcast to read their texts again; beyond it the join shuffles.
 BROADCAST_IDS = 400_000
 _rng = np.random.default_rng(7)
@@ -210,20 +210,17 @@ def _finish_ball(percent: int):
 
 
 def _compare_bucket(bound: float, miss: float):
-    """Pairs of different components in a bucket that the posterior does not prune."""
+    """Pairs in a bucket that the posterior does not prune."""
     least = least_agreements(bound, miss)
 
     def run(table: pa.Table) -> pa.Table:
         first, second = _block_pairs(table)
         if not len(first):
             return _PAIR.empty_table()
-        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
-        sigs = _bytes(table["sig"])
-        label = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+        nodes, sigs = table["node"].to_pylist(), _bytes(table["sig"])
         us, vs = [], []
         for k, x in enumerate(first):
             others = second if len(second) else first[k + 1 :]
-            others = others[label[others] != label[x]]
             if len(others):
                 kept = others[survivors(np.repeat(sigs[x : x + 1], len(others), axis=0), sigs[others], least)]
                 us += [nodes[x]] * len(kept)
@@ -285,30 +282,27 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, mis
     right = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"))
     kept = cut(stars.join(left, "u").join(right, "v").mapInArrow(_prune(1 - near, miss), "u binary, v binary"), "kept")
     measured = cut(verified(kept), "measured")
-    links = measured.where(f"100 * shared >= {percent} * total").select("u", "v")
-    labels = cut(components(links), "labels")
+    linked = F.expr(f"100 * shared >= {percent} * total")
+    links = measured.where(linked).select("u", "v")
 
-    label = F.coalesce("label", "node").alias("label")
     inside = measured.where(F.col("shared") >= (1 - near) * F.col("total"))
-    ball = inside.select(F.col("u").alias("node"), F.col("v").alias("pivot")).unionByName(inside.select(F.col("v").alias("node"), F.col("v").alias("pivot")).distinct())
-    ball = cut(ball.join(labels, "node", "left").select("pivot", "node", label), "balls")
+    ball = inside.select(F.col("v").alias("pivot"), F.col("u").alias("node"), F.when(linked, F.col("v")).otherwise(F.col("u")).alias("label"))
+    ball = ball.unionByName(inside.select(F.col("v").alias("pivot"), F.col("v").alias("node"), F.col("v").alias("label")).distinct())
     open_balls = cut(ball.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 AND a <> b").select("pivot", "n"), "open")
     tasks = _in_blocks(ball, ["pivot"], open_balls).join(sets, "node")
     more = tasks.groupBy("pivot", "i", "j").applyInArrow(_finish_ball(percent), "u binary, v binary")
-    links = cut(links.unionByName(more), "links")
 
     settled = measured.where(F.col("shared") >= (2 - near - threshold) * F.col("total")).select(F.col("u").alias("node"), F.col("v").alias("pivot"))
     rest = cut(placed.where("node <> pivot AND n > 2").join(settled, ["node", "pivot"], "left_anti").select("key", "node"), "rest")
     open_keys = cut(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "open")
-    labels = cut(components(links), "labels")
-    far = rest.join(labels, "node", "left").select("key", "node", label)
-    tasks = _in_blocks(far, ["key"], open_keys).join(sigs, "node")
+    tasks = _in_blocks(rest, ["key"], open_keys).join(sigs, "node")
     pairs = tasks.groupBy("key", "i", "j").applyInArrow(_compare_bucket(threshold, miss), "u binary, v binary")
     pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    found = verified(pairs).where(f"100 * shared >= {percent} * total").select("u", "v")
+    found = verified(pairs).where(linked).select("u", "v")
     drop(placed, stars, kept)
 
-    labels = cut(components(links.unionByName(found)), "labels")
+    label = F.coalesce("label", "node").alias("label")
+    labels = cut(components(links.unionByName(more).unionByName(found)), "labels")
     named = cut(classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", label), "named")
     least = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     component = cut(named.join(least, "label").select("node", "component_id"), "component")
