@@ -49,17 +49,18 @@ def fold_accents(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of two or more word characters, accents dropped."""
-    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(r"\b\w\w+\b"), F.lit(0))
+    """Runs of two or more of a-z, 0-9 and _ in the lower-cased text, accents dropped."""
+    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
 
 
 def ngrams(words: Column, upper: int = 2) -> Column:
     """One to ``upper`` adjacent words, joined by blanks."""
-    parts = [words]
-    for n in range(2, upper + 1):
-        joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        parts.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+
+    def adjacent(n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *[adjacent(n) for n in range(2, upper + 1)])
 
 
 def tfidf(listings: DataFrame, min_df: int = 2, max_df: float = 0.95, max_features: int | None = 30000, upper: int = 2, sublinear: bool = True) -> DataFrame:

@@ -292,7 +292,7 @@ def session_item_weights(spark, d):
 def _similar(spark, d, variant):
     history, truth = split(log_a(spark, d))
     p = itemitem.Params(variant=variant)
-    return itemitem.similarity(itemitem.session_item_weights(history, truth, p), p).select("job_i", "job_j", r6("sim"))
+    return itemitem.similarity(itemitem.session_item_weights(history, truth, p), p)
 
 
 @query
@@ -340,7 +340,7 @@ def uu_neighbors(spark, d):
     history, _ = split(log_b(spark, d))
     stored = sessions.truncated(history)
     v = sessions.vectors(stored, sessions.iuf(stored))
-    return sessions.neighbors(v, v).select("session_id", "neighbor", r6("sim"))
+    return sessions.neighbors(v, v)
 
 
 def _uu(spark, d):

@@ -250,12 +250,15 @@ ORACLE_SQL: dict[str, str] = {
     "pop_trending": _pop(TREND.format(name="raw")),
     "pop_hybrid": _pop(HYBRID),
     "session_item_weights": _a(HT, X_HT, final="SELECT session_id, job_id, round(w, 6) AS w FROM x"),
-    "ii_tversky": _a(HT, X_HT, TVERSKY, final="SELECT job_i, job_j, round(sim, 6) AS sim FROM sim"),
-    "ii_cosine": _a(HT, X_HT, COSINE, final="SELECT job_i, job_j, round(sim, 6) AS sim FROM sim"),
+    "ii_tversky": _a(HT, X_HT, TVERSKY, final="SELECT job_i, job_j, sim FROM sim"),
+    "ii_cosine": _a(HT, X_HT, COSINE, final="SELECT job_i, job_j, sim FROM sim"),
     "ii_priors": _a(HT, X_HT, II_PRIOR, final="SELECT job_id, round(prior, 6) AS prior, round(fallback, 6) AS fallback FROM ip"),
     "ii_scores": _b(HT, *II_ALL, final="SELECT session_id, job_id, round(score, 6) AS score FROM iis"),
+    "ii_recs_mrr": _a(HT, X_H, TVERSKY, II_PRIOR, II_QUERY, """un AS (SELECT t.session_id, ip.job_id, coalesce(per.score, greatest(ip.prior, ip.fallback)) AS score FROM t CROSS JOIN ip
+        LEFT JOIN per ON per.session_id = t.session_id AND per.job_id = ip.job_id LEFT JOIN (SELECT DISTINCT session_id, job_id FROM h) s ON s.session_id = t.session_id AND s.job_id = ip.job_id WHERE s.job_id IS NULL),
+        recs AS (SELECT session_id, job_id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, job_id) AS rank FROM un QUALIFY rank <= 10)""", HITS, final=MRR),
     "iuf": _a(HT, STORED, IUF, final="SELECT job_id, df, round(iuf, 6) AS iuf FROM uf"),
-    "uu_neighbors": _b(HT, STORED, IUF, UU_NEAR, final="SELECT session_id, neighbor, round(sim, 6) AS sim FROM un"),
+    "uu_neighbors": _b(HT, STORED, IUF, UU_NEAR, final="SELECT session_id, neighbor, sim FROM un"),
     "uu_scores": _b(HT, GRID, *UU_ALL, UU_SCORE, final="SELECT session_id, job_id, round(score, 6) AS score FROM uus"),
     "action_priors": _a(HT, _prior(1.53, 1.59, True), final="SELECT job_id, round(prior, 6) AS prior, round(fallback, 6) AS fallback FROM ap"),
     "mf_ratings": _a(HT, f"mr AS (SELECT session_id, job_id, sum(s) AS raw_signal, count(*) AS events FROM (SELECT session_id, job_id, {_w(0.76, 1.48)} * power(0.95::DOUBLE, n - 1 - pos) AS s FROM h WHERE n - pos <= 7 UNION ALL SELECT session_id, job_id, {_w(0.76, 1.48)} FROM t) GROUP BY ALL)", final="SELECT session_id, job_id, round(greatest(least(ln(1 + greatest(raw_signal, 0)), 2.47::DOUBLE), 1e-6), 6) AS rating, round(raw_signal, 6) AS raw_signal, events FROM mr"),
