@@ -112,7 +112,7 @@ def vocabulary(*tables: DataFrame) -> DataFrame:
 
 def as_int_if_possible(value: Column) -> Column:
     """A whole number's canonical digits, else the string as it is."""
-    return F.coalesce(F.expr(f"cast(try_cast({value._jc.toString()} AS BIGINT) AS STRING)"), value)
+    return F.coalesce(value.try_cast("bigint").cast("string"), value)
 
 
 def valid_split(session_id: Column, tenths: int = 3) -> Column:
