@@ -35,7 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (similarity 0.8 or more): the one with the least id."""
     kept = cut(minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id"), "kept")
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    ids = kept.distinct().hint("merge")  # at every size alike: the ids grow with the documents
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     repeated = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
