@@ -127,6 +127,7 @@ def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     name = documents.columns
     decided = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.floor(F.avg("taken")).alias("_taken"), F.first("size").alias("_size")), "decided")
     keyed = documents.withColumn("_hash", F.xxhash64("text"))
+    decided = decided.hint("merge")
     both = keyed.join(decided, (keyed["doc_id"] == decided["doc_id"]) & (keyed["_hash"] == decided["text_hash"])).drop(decided["doc_id"]).where("_taken > 0")
     part = F.col("_taken") % F.col("_size")
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
