@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailrank.llm import _text
+from trailrank.llm._sample import hash_share
 
 EMBED, STRIDE, WINDOWS, FILTERS = 8, 4, 64, 16
 CHUNK = STRIDE * WINDOWS
@@ -144,7 +145,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out())
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    chosen = hash_share(marks, rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     sample = texts.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).toArrow()
     pairs = sorted(zip(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["y"].to_pylist(), strict=True))
