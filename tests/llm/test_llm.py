@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -366,3 +367,19 @@ def test_mixing(spark):
     words = mixing.apply_mix(frame, decided).select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == sum(r["taken"] for r in got if r["doc_id"] is not None)
     assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mixing_takes_whole_texts_only(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 1 + int(rng.paretovariate(1.1)) % 900) for _ in range(300)] + [prose(rng, 400).replace(" ", "\n\t ") for _ in range(40)]
+    texts += [texts[0], texts[-1]]
+    frame = documents(spark, texts, sources=("a", "b", "c")).unionAll(documents(spark, [texts[0]] * 3, first=9000, sources=("b",)).withColumn("doc_id", F.lit(9000)))
+    got = mixing.mix(frame).collect()
+    assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 2 for r in got)
+    for source in ("a", "b", "c"):
+        rows = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 0.005 * rows[0]["target"]
+        assert rows[0]["rate"] % 1 == 0 or {r["copies"] for r in rows if r["size"] > 100} == {int(rows[0]["rate"]), int(rows[0]["rate"]) + 1}
+    mixed = Counter(map(tuple, mixing.apply_mix(frame, mixing.mix(frame)).collect()))
+    assert sum(mixed.values()) == sum(r["copies"] for r in got)
+    assert set(mixed) <= set(map(tuple, frame.collect()))

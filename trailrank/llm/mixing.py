@@ -8,10 +8,12 @@ and are nearest to 1 in relative entropy (documents weighed by their words) are
 r = exp(lambda_source). The dual is convex; Newton steps on it are aggregations
 over the (source, size) histogram of the documents joined with the multipliers.
 
-Copies: a rate's whole part is taken of every document. The rest is rounded
-systematically in order of size, so the error of a source stays within half its
-largest document; documents above ``PART`` of their source's target are cut
-instead, so the error stays within ``PART`` / 2 of the target.
+Copies: texts are never cut. A rate's whole part is taken of every document. The
+rest is rounded systematically by cumulated words: sizes are gone through from
+the longest, each is dealt its share of the words that the source still needs,
+and what rounding leaves over goes to the shorter ones. So a source misses its
+target by about its shortest documents, or, where one text outweighs all shorter
+ones together, by up to half that text.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 from trailrank.llm._store import cut
 
 WEIGHTS = (5, 2, 1)
-#: A document longer than this part of its source's target has its last copy cut.
-PART = 0.001
 TOLERANCE, MAX_STEPS = 1e-9, 60
 #: Rows of one (source, size) that are numbered in one task.
 CELL = 1000
@@ -76,12 +76,35 @@ def balance(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", F.exp("dual").alias("rate"))
 
 
+def deal(histogram: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, size, n, more): ``more`` of the ``n`` documents of a size get a copy beyond the whole part of the rate.
+
+    ``plan`` is (source, source_size, target, rate). Documents of one size are
+    interchangeable, so a row for each source with its distinct sizes is enough.
+    """
+    sizes = histogram.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    both = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    left = F.col("target") - F.floor("rate") * F.col("source_size")
+    none = F.array().cast("array<struct<size:bigint,n:bigint,more:bigint>>")
+
+    def step(state: Column, cell: Column) -> Column:
+        share = F.when(state["words"] > 0, F.least(F.greatest(state["left"] / state["words"], F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        wanted = share * cell["n"] + state["carry"]  # carry is in [-0.5, 0.5), so 0 <= more <= n
+        more = F.floor(wanted + 0.5)
+        dealt = F.array_append(state["dealt"], F.struct(cell["size"].alias("size"), cell["n"].alias("n"), more.alias("more")))
+        words = cell["size"] * cell["n"]
+        return F.struct((state["left"] - more * cell["size"]).alias("left"), (state["words"] - words).alias("words"), (wanted - more).alias("carry"), dealt.alias("dealt"))
+
+    start = F.struct(left.cast("double").alias("left"), F.col("source_size").cast("double").alias("words"), F.lit(0.0).alias("carry"), none.alias("dealt"))
+    dealt = both.select("source", F.explode(F.aggregate("sizes", start, step)["dealt"]).alias("cell"))
+    return dealt.select("source", "cell.size", "cell.n", "cell.more")
+
+
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, taken, copies, text_hash) for every row.
 
     ``taken`` is the number of words the mix takes of the row, repeats counted:
-    ``copies`` whole texts, and for long texts the first words of one more. It is
-    never above ``cap`` times the size. A null text has size 0 and takes 0; a
+    ``copies`` whole texts, never more than ``cap`` rounded up. A null text has size 0 and takes 0; a
     null source is a source of its own. Repeated rows are documents of their own.
     The choice depends on ids and texts only, so reruns agree. An empty table
     gives no rows.
@@ -94,12 +117,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     plan = goals.join(rates, goals["source"].eqNullSafe(rates["source"])).select(goals["source"], "source_size", "target", F.least("rate", F.lit(float(cap))).alias("rate"))
     plan = cut(plan, "rates")
-    by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    cells = histogram.withColumn("ahead", F.coalesce(F.sum("n").over(by_size), F.lit(0))).withColumn("salts", F.ceil(F.col("n") / CELL).cast("int"))
-    cells = cut(cells, "cells")
+    cells = cut(deal(histogram, plan).withColumn("salts", F.ceil(F.col("n") / CELL).cast("int")), "cells")
     keyed = sized.withColumn("mark", F.xxhash64("doc_id", "text_hash", "size"))
     placed = keyed.join(cells, keyed["source"].eqNullSafe(cells["source"]) & (keyed["size"] == cells["size"]))
-    placed = placed.select("doc_id", keyed["source"], keyed["size"], "text_hash", "mark", "ahead", F.pmod("mark", "salts").cast("int").alias("salt"))
+    placed = placed.select("doc_id", keyed["source"], keyed["size"], "text_hash", "mark", "more", F.pmod("mark", "salts").cast("int").alias("salt"))
     placed = cut(placed, "placed")
     salted = placed.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
     earlier = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,31 +128,28 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     in_cell = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("mark", "doc_id", "text_hash"))
     numbered = placed.withColumn("place", in_cell)
     joined = numbered.join(salted, numbered["source"].eqNullSafe(salted["source"]) & (numbered["size"] == salted["size"]) & (numbered["salt"] == salted["salt"]))
-    joined = joined.select("doc_id", numbered["source"], numbered["size"], "text_hash", (F.col("ahead") + F.col("earlier") + F.col("place")).alias("rank"))
-    out = joined.join(plan, joined["source"].eqNullSafe(plan["source"])).select("doc_id", joined["source"], "size", "source_size", "target", "rate", "text_hash", "rank")
-
-    whole = F.floor("rate")
-    rest = F.col("rate") - whole
-    extra = (F.floor(rest * F.col("rank") + 0.5) - F.floor(rest * (F.col("rank") - 1) + 0.5)) * F.col("size")
-    long = F.col("size") > PART * F.col("target")
-    taken = (whole * F.col("size") + F.when(long, F.round(rest * F.col("size"))).otherwise(extra)).cast("long")
-    out = out.withColumn("taken", taken).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+    joined = joined.select("doc_id", numbered["source"], numbered["size"], "text_hash", (F.col("earlier") + F.col("place") <= F.col("more")).alias("again"))
+    out = joined.join(plan, joined["source"].eqNullSafe(plan["source"])).select("doc_id", joined["source"], "size", "source_size", "target", "rate", "text_hash", "again")
+
+    copies = F.floor("rate") + F.col("again").cast("int")
+    out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "taken", "copies", "text_hash")
 
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``documents`` as often as ``mixed`` takes them; a cut copy holds the text's first words.
+    """The rows of ``documents`` as often as ``mixed`` takes them, texts unchanged.
 
-    Rows equal in id and text share their words evenly.
+    Rows equal in id and text share their copies as evenly as whole copies allow.
     """
     name = documents.columns
-    decided = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.floor(F.avg("taken")).alias("_taken"), F.first("size").alias("_size")), "decided")
+    decided = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "decided")
+    uneven = decided.where("_copies % _rows <> 0").limit(1).count()
     keyed = documents.withColumn("_hash", F.xxhash64("text"))
     decided = decided.hint("merge")
-    both = keyed.join(decided, (keyed["doc_id"] == decided["doc_id"]) & (keyed["_hash"] == decided["text_hash"])).drop(decided["doc_id"]).where("_taken > 0")
-    part = F.col("_taken") % F.col("_size")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    both = both.withColumn("_copy", F.explode(copies))
-    words = F.expr(r"substring_index(ltrim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ')), ' ', cast(_taken % _size as int))")
-    cut_copy = (F.col("_copy") == F.ceil(F.col("_taken") / F.col("_size"))) & (part > 0)
-    return both.withColumn("text", F.when(cut_copy, words).otherwise(F.col("text"))).select(*name)
+    both = keyed.join(decided, (keyed["doc_id"] == decided["doc_id"]) & (keyed["_hash"] == decided["text_hash"])).drop(decided["doc_id"]).where("_copies > 0")
+    times = F.floor(F.col("_copies") / F.col("_rows"))
+    if uneven:
+        both = both.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*name))))
+        times = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_place") - 1) / F.col("_rows"))
+    both = both.withColumn("_times", times.cast("int")).where("_times > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*name)
