@@ -383,3 +383,15 @@ def test_mixing_takes_whole_texts_only(spark):
     mixed = Counter(map(tuple, mixing.apply_mix(frame, mixing.mix(frame)).collect()))
     assert sum(mixed.values()) == sum(r["copies"] for r in got)
     assert set(mixed) <= set(map(tuple, frame.collect()))
+
+
+def test_mixing_keeps_rows_without_ids(spark):
+    rng = random.Random(9)
+    frame = documents(spark, [prose(rng, 1 + k % 50) for k in range(120)], sources=("a", "b", None)).withColumn("doc_id", F.expr("CASE WHEN doc_id % 3 <> 2 OR doc_id % 4 = 0 THEN doc_id END"))
+    frame = frame.unionAll(spark.createDataFrame([(None, "same text", "en", s, 9) for s in ("a", "b", "b", "b", None)], DOCS))
+    decided = mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("n"))
+    after = mixing.apply_mix(frame, mixing.mix(frame))
+    words = after.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+    assert dict(map(tuple, words.collect())) == dict(map(tuple, decided.collect()))
+    assert after.where("doc_id IS NULL").count() > 0
+    assert set(map(tuple, after.collect())) <= set(map(tuple, frame.collect()))

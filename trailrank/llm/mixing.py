@@ -13,7 +13,7 @@ rest is rounded systematically by cumulated words: sizes are gone through from
 the longest, each is dealt its share of the words that the source still needs,
 and what rounding leaves over goes to the shorter ones. So a source misses its
 target by about its shortest documents, or, where one text outweighs all shorter
-ones together, by up to half that text.
+ones together, by up to about that text.
 """
 
 from __future__ import annotations
@@ -139,17 +139,20 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``documents`` as often as ``mixed`` takes them, texts unchanged.
 
-    Rows equal in id and text share their copies as evenly as whole copies allow.
+    Rows are matched by id, source and text, and nulls match nulls. Rows equal in
+    all three share their copies as evenly as whole copies allow.
     """
     name = documents.columns
-    decided = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "decided")
+    decided = cut(mixed.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "decided")
     uneven = decided.where("_copies % _rows <> 0").limit(1).count()
-    keyed = documents.withColumn("_hash", F.xxhash64("text"))
+    keys = {"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_hash": F.xxhash64("text")}
+    keyed = documents.withColumns(keys)
     decided = decided.hint("merge")
-    both = keyed.join(decided, (keyed["doc_id"] == decided["doc_id"]) & (keyed["_hash"] == decided["text_hash"])).drop(decided["doc_id"]).where("_copies > 0")
+    same = keyed["_id"].eqNullSafe(decided["doc_id"]) & keyed["_source"].eqNullSafe(decided["source"]) & (keyed["_hash"] == decided["text_hash"])
+    both = keyed.join(decided, same).drop(decided["doc_id"], decided["source"]).where("_copies > 0")
     times = F.floor(F.col("_copies") / F.col("_rows"))
     if uneven:
-        both = both.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*name))))
+        both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*name))))
         times = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_place") - 1) / F.col("_rows"))
     both = both.withColumn("_times", times.cast("int")).where("_times > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*name)
