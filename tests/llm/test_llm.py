@@ -94,6 +94,61 @@ def test_signature_estimates_and_pruning():
     assert minhash.survivors(x, x, least).tolist() == [0, 1] and not len(minhash.survivors(x[:1], x[1:], least))
 
 
+@pytest.mark.parametrize("size", [50, 300, 1000, 5000])
+def test_pruning_rejects_disjoint_sets_of_every_size(size):
+    rng = np.random.default_rng(size)
+    marks = [np.frombuffer(minhash.byte_signature(minhash.signature(rng.integers(0, 2**63, size, dtype=np.uint64))), np.uint8) for _ in range(40)]
+    a, b = (np.array([marks[k] for k in side]) for side in zip(*itertools.combinations(range(40), 2)))
+    assert (a == b).mean() < 0.02
+    for bound in (0.5, 0.85):
+        assert len(minhash.survivors(a, b, minhash.least_agreements(bound, 1e-4))) < 0.01 * len(a)
+
+
+def test_pruning_keeps_long_near_copies():
+    rng = np.random.default_rng(2)
+    least, kept = minhash.least_agreements(0.85, 1e-4), 0
+    for _ in range(30):
+        pool = rng.integers(0, 2**63, 3200, dtype=np.uint64)
+        one, two = (np.frombuffer(minhash.byte_signature(minhash.signature(x)), np.uint8)[None] for x in (pool[:3000], pool[200:]))
+        kept += len(minhash.survivors(one, two, least))
+    assert kept == 30
+
+
+def test_near_duplicates_of_long_texts_match_brute_force(spark):
+    rng, texts = random.Random(11), []
+    for n in (300, 900, 3000):
+        base = prose(rng, n).split(" ")
+        for k in range(5):
+            words = list(base)
+            for _ in range(n * k // 150):
+                words[rng.randrange(n)] = rng.choice(WORDS)
+            texts.append(" ".join(words))
+    texts += [prose(rng, 800) for _ in range(8)]
+    assert sorted(map(tuple, minhash.near_duplicates(documents(spark, texts)).collect())) == groups_by_force(texts, 85)
+
+
+def test_large_ball_with_loose_members_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(12)
+    base = prose(rng, 200).split(" ")
+    texts = []
+    for k in range(60):  # around 0.75 of each other, some linked in pairs
+        words = list(base)
+        for _ in range(6 if k < 40 else 1):
+            words[rng.randrange(200)] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+        if k % 10 == 0:
+            texts.append(" ".join([*words[:-1], "x"]))
+    assert sorted(map(tuple, minhash.near_duplicates(documents(spark, texts)).collect())) == groups_by_force(texts, 85)
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    text = prose(random.Random(1), 50)
+    rows = spark.createDataFrame([(5, text)] * 40 + [(6, text)] * 3 + [(7, "")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "text_hash", "pivot", "weight")})
+    got = [(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()]
+    assert sorted(got) == [(5, 5)] * 40 + [(6, 5)] * 3 + [(7, 7)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(201, 240)] + [(7, 7)]
@@ -109,6 +164,8 @@ def test_components(spark):
         parent[y] = x
     want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
     frame = spark.createDataFrame(edges, "u long, v long")
+    last = spark.createDataFrame([(9, 1), (9, 5)], "u long, v long")  # the greatest node has two lesser neighbours
+    assert sorted(map(tuple, components.components(last).collect())) == [(1, 1), (5, 1), (9, 1)]
     assert {r["node"]: r["label"] for r in components.components(frame).collect()} == want
     assert components.components(frame.limit(0)).count() == 0
 

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, single machine).
+#: Used only by sessions of a single machine that name no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints/trailrank"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -22,6 +25,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names`` with underscores put before those that a column of ``taken`` has already (upper and lower case count as one)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in tables:

@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top")), "low")
-        if low.where("top > u AND m < u").isEmpty():  # only stars are left
+        if low.where("m < u AND top <> m").isEmpty():  # only stars around their least nodes are left
             return low.select(F.col("u").alias("node"), F.col("m").alias("label"))
         large = both.where("v > u").join(low.select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v")))

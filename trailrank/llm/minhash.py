@@ -7,20 +7,26 @@
    Members are compared with their pivots only, batch by batch of the
    signature: a pair goes when the posterior chance that its similarity
    reaches the bound is below ``miss``. Survivors are verified on full sets.
-3. What pivots cannot settle: Jaccard distance is a metric, so when a member is
-   at most ``near - (1 - threshold)`` from its pivot, every text linked with it
-   lies within ``near`` of the pivot. Such balls are finished inside one task by
-   exact set products, in blocks of bounded size; members further away are
-   compared with each other by signatures, in blocks, and survivors verified.
-4. Links are joined into components; each document gets its component's least id.
-
-No step emits all pairs of a group, and none caps a member's partners.
+3. Jaccard distance is a metric, so when a member is at most
+   ``near - (1 - threshold)`` from its pivot, every text linked with it lies
+   within ``near`` of the pivot: the pivot's ball settles the member. Members of
+   a ball that are not linked with its pivot meet all members by exact set
+   products, in blocks of bounded size.
+4. Members that no ball settles get new pivots, ``TURNS`` times in all. What is
+   left then has as many unlike clusters in one bucket; it is compared by
+   signatures, in blocks, and survivors are verified.
+5. Links are joined into components; each document gets its component's least id.
+
+Groups of near copies are settled by their pivots, so no step emits all pairs of
+them, and none caps a member's partners. Shingle sets are read again for texts in
+buckets only; that join shuffles at every size alike.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -36,8 +42,8 @@ BANDS, ROWS, BATCH = 24, 6, 24
 N_HASHES = BANDS * ROWS
 #: Members of one block in a task that compares a ball or a bucket.
 BLOCK = 192
-#: Node ids up to this number (16 bytes each) are broadcast to read their texts again; beyond it the join shuffles.
-BROADCAST_IDS = 400_000
+#: Rounds of pivots.
+TURNS = 3
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**63, (N_HASHES, 1), dtype=np.uint64)
 _MUL = _rng.integers(0, 2**62, (N_HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,28 +95,38 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def byte_signature(low: np.ndarray) -> bytes:
+    """One byte of each minimum. Minima of large sets have high bits 0, so the byte is taken after mixing."""
+    return (_text.mix(low) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # equal rows meet in one task and give one set
         for batch in batches:
-            rows = [(node, x.tobytes()) for node, x in zip(batch["node"].to_pylist(), _text.shingle_sets(batch["text"], width), strict=True) if node == _digest(x)]
+            rows = []
+            for node, x in zip(batch["node"].to_pylist(), _text.shingle_sets(batch["text"], width), strict=True):
+                if node not in seen and node == _digest(x):
+                    seen.add(node)
+                    rows.append((node, x.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["node", "shingles"])
 
     return run
 
 
 def _signatures(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = [], batch["doc_id"].to_pylist()
-            for doc_id, shingles in zip(ids, _text.shingle_sets(batch["text"], width), strict=True):
+            rows = []
+            for doc_id, mark, shingles in zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), _text.shingle_sets(batch["text"], width), strict=True):
                 if doc_id is None or not len(shingles):
-                    rows.append((doc_id, len(shingles), None, None, None))
+                    rows.append((doc_id, mark, len(shingles), None, None, None))
                     continue
                 low = signature(shingles)
-                rows.append((doc_id, len(shingles), _digest(shingles), (low >> np.uint64(56)).astype(np.uint8).tobytes(), band_keys(low)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+                rows.append((doc_id, mark, len(shingles), _digest(shingles), byte_signature(low), band_keys(low)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
 
     return run
 
@@ -175,12 +191,14 @@ def _block_pairs(table: pa.Table):
 
 
 def _finish_ball(percent: int):
-    """Links, on full sets, between members that are in different components so far."""
+    """Links, on full sets, of a block of loose members with another such block or with one of the pivot's linked members."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, second = _block_pairs(table)
+        loose = np.array(table["loose"].to_pylist(), dtype=bool)
+        within = table["kind"][0].as_py() == "loose"
+        first, second = _block_pairs(table) if within else (np.flatnonzero(loose), np.flatnonzero(~loose))
         order = np.concatenate([first, second])
-        if not len(first):
+        if not len(first) or len(order) < 2:
             return _PAIR.empty_table()
         nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
         blobs = table["shingles"].to_pylist()
@@ -197,7 +215,7 @@ def _finish_ball(percent: int):
 
         us, vs = [], []
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (y < len(first) and (len(second) or y <= x)):
+            if y < len(first) and (len(second) or y <= x):
                 continue
             p, q = root(labels[order[x]]), root(labels[order[y]])
             if p != q:
@@ -238,13 +256,33 @@ def _in_blocks(members: DataFrame, group: list[str], counts: DataFrame) -> DataF
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "g", "other")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-4, near: float = 0.5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents``.
+def _ball_blocks(ball: DataFrame) -> DataFrame:
+    """(pivot, kind, i, j, block, node, label, loose): loose members for each block of loose and of linked members, linked ones for each block of loose members.
+
+    Balls without a loose member, or with a single one and nobody but the pivot, need no task.
+    """
+    marked = ball.withColumn("loose", F.col("label") != F.col("pivot"))
+    sizes = marked.groupBy("pivot").agg(F.sum(F.col("loose").cast("long")).alias("u"), F.sum((~F.col("loose")).cast("long")).alias("l"))
+    sizes = cut(sizes.where("u > 0 AND u + l > 2"), "open")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = marked.join(sizes, "pivot").withColumn("gu", blocks("u")).withColumn("gl", blocks("l"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("loose"), F.col("gu")).otherwise(F.col("gl"))).cast("int"))
+    to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(to("gu"), lambda o: task("loose", F.least("block", o), F.greatest("block", o)))
+    against = F.transform(to("gl"), lambda o: task("linked", F.col("block"), o))
+    mine = F.transform(to("gu"), lambda o: task("linked", o, F.col("block")))
+    dealt = dealt.withColumn("task", F.explode(F.when(F.col("loose"), F.concat(among, against)).otherwise(mine)))
+    return dealt.select("pivot", "task.kind", "task.i", "task.j", "block", "node", "label", "loose")
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-4, near: float = 0.5, with_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept[, text_hash]) for every row of ``documents``.
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| on their sets of
     distinct ``width``-word shingles. ``miss`` is the chance at which a pair is
     pruned unseen, ``near`` the distance from a pivot within which a group is
-    finished exactly.
+    finished exactly. ``with_hash`` adds Spark's xxhash64 of the text.
 
     A text of fewer words is one shingle; null, empty and blank texts have none
     and are linked with nothing. Rows with equal ids or texts each give a row. A
@@ -252,60 +290,63 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, mis
     kept. Columns besides doc_id and text are ignored. An empty table gives no rows.
     """
     threshold = percent / 100
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"), "signatures")
-    classes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    linked = F.expr(f"100 * shared >= {percent} * total")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"), "signatures")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = signed.where("node IS NOT NULL").groupBy("node").agg(least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("node", "least.doc_id", "least.text_hash", "sig", "bands"), "classes")
     sigs = classes.select("node", "sig")
 
     rows = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = cut(rows.join(buckets, "key"), "shared")
     weight = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
-    held = cut(shared.join(weight, "node"), "held")
-    pivots = cut(held.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")), "pivots")
-    placed = cut(held.select("key", "node", "n").join(pivots, "key"), "placed")
-    stars = cut(placed.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
-    drop(shared, held, pivots)
-
-    ids = weight.select("node")
-    few = ids.count() <= BROADCAST_IDS
-    chosen = signed.where("node IS NOT NULL").join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = F.broadcast(cut(chosen, "chosen")) if few else cut(chosen, "chosen")
-    sets = cut(docs.join(chosen, "doc_id").select("node", "text").mapInArrow(_sets(width), "node binary, shingles binary"), "sets")
+    rest = cut(shared.select("key", "node").join(weight, "node"), "held")
+
+    chosen = classes.join(weight.select("node"), "node", "left_semi").select("doc_id", "text_hash", "node")
+    sets = docs.join(chosen.hint("merge"), ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets(width), "node binary, shingles binary")
+    sets = cut(sets, "sets")
+    spent = [buckets, shared, weight]
+
+    def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        left, right = (table.select(F.col("node").alias(c), F.col(column).alias(f"{column}_{c}")) for c in "uv")
+        return pairs.join(left, "u").join(right, "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
-        right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
-        return pairs.join(left, "u").join(right, "v").mapInArrow(_overlap, "u binary, v binary, shared long, total long")
-
-    left = sigs.select(F.col("node").alias("u"), F.col("sig").alias("sig_u"))
-    right = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"))
-    kept = cut(stars.join(left, "u").join(right, "v").mapInArrow(_prune(1 - near, miss), "u binary, v binary"), "kept")
-    measured = cut(verified(kept), "measured")
-    linked = F.expr(f"100 * shared >= {percent} * total")
-    links = measured.where(linked).select("u", "v")
-
-    inside = measured.where(F.col("shared") >= (1 - near) * F.col("total"))
-    ball = inside.select(F.col("v").alias("pivot"), F.col("u").alias("node"), F.when(linked, F.col("v")).otherwise(F.col("u")).alias("label"))
-    ball = ball.unionByName(inside.select(F.col("v").alias("pivot"), F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-    open_balls = cut(ball.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 AND a <> b").select("pivot", "n"), "open")
-    tasks = _in_blocks(ball, ["pivot"], open_balls).join(sets, "node")
-    more = tasks.groupBy("pivot", "i", "j").applyInArrow(_finish_ball(percent), "u binary, v binary")
-
-    settled = measured.where(F.col("shared") >= (2 - near - threshold) * F.col("total")).select(F.col("u").alias("node"), F.col("v").alias("pivot"))
-    rest = cut(placed.where("node <> pivot AND n > 2").join(settled, ["node", "pivot"], "left_anti").select("key", "node"), "rest")
-    open_keys = cut(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "open")
-    tasks = _in_blocks(rest, ["key"], open_keys).join(sigs, "node")
+        both = with_both(pairs, sets.withColumnRenamed("shingles", "set"), "set")
+        return both.mapInArrow(_overlap, "u binary, v binary, shared long, total long")
+
+    found = []
+    for _ in range(TURNS):
+        pivots = cut(rest.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
+        placed = cut(rest.join(pivots, "key").where("node <> pivot"), "placed")
+        stars = placed.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+        kept = cut(with_both(stars, sigs, "sig").mapInArrow(_prune(1 - near, miss), "u binary, v binary"), "kept")
+        measured = cut(verified(kept), "measured")
+        inside = measured.where(F.col("shared") >= (1 - near) * F.col("total"))
+        ball = inside.select(F.col("v").alias("pivot"), F.col("u").alias("node"), F.when(linked, F.col("v")).otherwise(F.col("u")).alias("label"))
+        ball = ball.unionByName(inside.select(F.col("v").alias("pivot"), F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        tasks = _ball_blocks(ball).join(sets, "node").groupBy("pivot", "kind", "i", "j")
+        found += [measured.where(linked).select("u", "v"), cut(tasks.applyInArrow(_finish_ball(percent), "u binary, v binary"), "finished")]
+        settled = measured.where(F.col("shared") >= (2 - near - threshold) * F.col("total")).select(F.col("u").alias("node"), F.col("v").alias("pivot"))
+        spent += [rest, pivots, placed, kept, measured]
+        rest = cut(placed.where("n > 2").join(settled, ["node", "pivot"], "left_anti").select("key", "node", "weight"), "rest")
+        if rest.isEmpty():
+            break
+
+    open_keys = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tasks = _in_blocks(rest.select("key", "node"), ["key"], open_keys).join(sigs, "node")
     pairs = tasks.groupBy("key", "i", "j").applyInArrow(_compare_bucket(threshold, miss), "u binary, v binary")
     pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    found = verified(pairs).where(linked).select("u", "v")
-    drop(placed, stars, kept)
-
-    label = F.coalesce("label", "node").alias("label")
-    labels = cut(components(links.unionByName(more).unionByName(found)), "labels")
-    named = cut(classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", label), "named")
-    least = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    component = cut(named.join(least, "label").select("node", "component_id"), "component")
-    out = signed.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    found.append(verified(pairs).where(linked).select("u", "v"))
+
+    labels = components(reduce(DataFrame.unionByName, found))
+    named = cut(classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "named")
+    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    component = cut(named.join(first, "label").select("node", "component_id"), "component")
+    drop(*spent, rest, pairs, sets, named, classes, *found[1:-1:2])
+    out = signed.select("doc_id", "n_shingles", "node", "text_hash").join(component, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", component_id).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component_id, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *["text_hash"] * with_hash)

@@ -57,7 +57,19 @@ QUERIES = {f.__name__: f for f in (op1_minhash, op2_simhash, op3_licenses, op4_p
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+        x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS sh FROM s),
+        l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        c(doc_id, label) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.v, c.label FROM c JOIN l ON c.doc_id = l.u)
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.label AS component_id, m.label = s.doc_id AS kept
+        FROM s JOIN (SELECT doc_id, min(label) AS label FROM c GROUP BY doc_id) m ON m.doc_id = s.doc_id""",
     "op5_linededup": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
