@@ -7,8 +7,11 @@ documents. Documents can be added and removed: counts move up and down, and
 keys that cross the threshold enter or leave their shard's filter, so removing
 what was added gives the earlier state back.
 
-A document's lines are probed in the filters first; only lines that the filters
-may hold are looked up in the exact counts, so a false hit never drops a line.
+A document's lines are probed in the filters first: (text, key) rows are dealt
+by shard, each shard in groups of bounded size, and meet the shard's filter.
+Only what the filters may hold goes on to the exact counts by an equi-join, so a
+false hit never drops a line. The keys that a text loses then meet the text by
+its hash. It is one path at every size: filters and counts may outgrow any memory.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailrank.llm._store import cut
+from trailrank.llm._store import cut, fresh
 
 _STRIP = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 MAX_KICKS = 500
 #: Keys to a shard for which filters are sized when the caller names no shard count.
 SHARD_KEYS = 100_000
-#: Keys over the threshold up to this number (16 bytes each) are broadcast; beyond it suspects are joined.
-BROADCAST_KEYS = 200_000
+#: Probes, (text, key) rows, that meet a shard's filter in one task.
+PROBES = 250_000
 
 
 class CuckooFilter:
@@ -126,20 +129,42 @@ def _lines(text: pa.Scalar) -> list[bytes]:
 
 
 _KEYS = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
+_TEXT_KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *_KEYS])
+
+
+def _keys_of(text: pa.Scalar, min_chars: int) -> set[bytes]:
+    keys = {line_key(x) for x in _lines(text)}
+    return {k for k in keys if len(k) >= min_chars and (min_chars <= 1 or _points(k) >= min_chars)}
 
 
 def _distinct_keys(min_chars: int):
+    """(hi, lo) of every text's distinct keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes: list = []
-            for text in batch["text"]:
-                keys = {line_key(x) for x in _lines(text)}
-                hashes += [_hash(k) for k in keys if len(k) >= min_chars and (min_chars <= 1 or _points(k) >= min_chars)]
+            hashes = [_hash(k) for text in batch["text"] for k in _keys_of(text, min_chars)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*hashes, strict=True) if hashes else ([], []))], schema=_KEYS)
 
     return run
 
 
+def _text_keys(min_chars: int):
+    """(h1, h2, hi, lo): a text's hash with each of its distinct keys; equal texts of a task count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            rows = []
+            for text, h1, h2 in zip(batch["text"], batch["h1"].to_pylist(), batch["h2"].to_pylist(), strict=True):
+                if (h1, h2) not in done:
+                    done.add((h1, h2))
+                    rows += [(h1, h2, *_hash(k)) for k in _keys_of(text, min_chars)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_TEXT_KEYS)
+
+    return run
+
+
 def line_counts(documents: DataFrame, min_chars: int = 1) -> DataFrame:
     """(hi, lo, n_docs): for every line key of at least ``min_chars`` code points the documents that hold it."""
     keys = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_distinct_keys(min_chars), "hi long, lo long")
@@ -167,7 +192,11 @@ class LineIndex:
 
     @classmethod
     def build(cls, documents: DataFrame, min_docs: int = 10, min_chars: int = 1, shards: int | None = None) -> LineIndex:
-        counts = cut(line_counts(documents, min_chars), "line-counts")
+        return cls.of(cut(line_counts(documents, min_chars), "line-counts"), min_docs, min_chars, shards)
+
+    @classmethod
+    def of(cls, counts: DataFrame, min_docs: int, min_chars: int, shards: int | None = None) -> LineIndex:
+        """The index of exact counts: the filters hold the keys at or over the threshold."""
         frequent = counts.where(F.col("n_docs") >= min_docs)
         shards = shards or 1 + frequent.count() // SHARD_KEYS
         filters = frequent.select("lo", _shard(shards)).groupBy("shard").applyInArrow(_build, "shard int, filter binary")
@@ -180,128 +209,109 @@ class LineIndex:
         moved = line_counts(documents, self.min_chars).select("hi", "lo", (F.col("n_docs") * sign).alias("moved"))
         both = self.counts.select("hi", "lo", "n_docs", F.lit(0).cast("long").alias("moved")).unionByName(moved.withColumn("n_docs", F.lit(0).cast("long")))
         both = cut(both.groupBy("hi", "lo").agg(F.sum("n_docs").alias("before"), F.sum("moved").alias("moved")).withColumn("n_docs", F.col("before") + F.col("moved")), "line-moves")
+        counts = cut(both.where("n_docs > 0").select("hi", "lo", "n_docs"), "line-counts")
         over = lambda c: F.col(c) >= self.min_docs
+        keys = both.where(over("n_docs")).select("lo", _shard(self.shards))
+        if keys.count() > 2 * SHARD_KEYS * self.shards:  # the shards have grown too large: deal the keys to more
+            return LineIndex.of(counts, self.min_docs, self.min_chars)
         crossed = both.where(over("before") != over("n_docs")).select("lo", over("n_docs").alias("enters"), _shard(self.shards))
-        filters = self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(_move, "shard int, filter binary")
-        counts = both.where("n_docs > 0").select("hi", "lo", "n_docs")
-        return LineIndex(cut(counts, "line-counts"), cut(filters, "line-filters"), self.shards, self.min_docs, self.min_chars)
+        filters = cut(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(_move, "shard int, filter binary"), "line-filters")
+        full = filters.where("filter IS NULL")
+        if not full.isEmpty():  # these grow: they are built again from the exact counts
+            grown = keys.join(full.select("shard"), "shard", "left_semi").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+            filters = cut(filters.where("filter IS NOT NULL").unionByName(grown), "line-filters")
+        return LineIndex(counts, filters, self.shards, self.min_docs, self.min_chars)
 
     def add(self, documents: DataFrame) -> LineIndex:
+        """The index with ``documents`` too. Filters that get full grow."""
         return self._changed(documents, 1)
 
     def remove(self, documents: DataFrame) -> LineIndex:
         return self._changed(documents, -1)
 
-    def apply(self, documents: DataFrame) -> DataFrame:
-        """``documents`` with text without its frequent lines, and n_lines and n_dropped.
+    def suspects(self, texts: DataFrame) -> DataFrame:
+        """(h1, h2, hi, lo): the keys of texts (h1, h2, text) that the filters may hold.
 
-        Column names must not be ``n_lines``, ``n_dropped`` already (they are replaced).
+        A shard's probes are dealt to groups of about ``PROBES`` rows by text and
+        task, so that a line or text that most rows hold is spread as well.
         """
-        keys = self.frequent()
-        schema = documents.select([c for c in documents.columns if c not in ("n_lines", "n_dropped")])
-        out = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in schema.schema) + ", n_lines long, n_dropped long"
-        if keys.count() <= BROADCAST_KEYS:
-            held = self.filters.collect()
-            rows = keys.toArrow()
-            filters = {r["shard"]: bytes(r["filter"]) for r in held}
-            exact = np.array([rows["lo"].to_numpy(), rows["hi"].to_numpy()]).T
-            sent = documents.sparkSession.sparkContext.broadcast((filters, exact, self.shards))
-            return schema.mapInArrow(_drop_broadcast(sent, self.min_chars), out)
-        return self._apply_by_join(schema, keys, out)
-
-    def _apply_by_join(self, documents: DataFrame, keys: DataFrame, out: str) -> DataFrame:
-        """The same through shuffles only: (row, key) suspects meet the exact counts, rows meet their lines."""
-        names = documents.columns
-        numbered = cut(documents.withColumn("_row", F.expr("uuid()")), "line-rows")
-        pairs = numbered.select("_row", "text").mapInArrow(_row_keys(self.min_chars), "_row string, hi long, lo long")
-        hits = pairs.withColumn("shard", F.pmod(F.col("hi"), F.lit(self.shards)).cast("int"))
-        hits = hits.join(cut(keys, "line-keys"), ["hi", "lo"]).groupBy("_row").agg(F.collect_set(F.struct("hi", "lo")).alias("_hits"))
-        joined = numbered.join(hits, "_row", "left").select(*names, "_hits")
-        return joined.mapInArrow(_drop_listed(self.min_chars), out)
-
-
-def _row_keys(min_chars: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row, text in zip(batch["_row"].to_pylist(), batch["text"], strict=True):
-                rows += [(row, *_hash(k)) for k in {line_key(x) for x in _lines(text)} if len(k) >= min_chars and (min_chars <= 1 or _points(k) >= min_chars)]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["_row", "hi", "lo"])
-
-    return run
+        found = texts.mapInArrow(_text_keys(self.min_chars), "h1 long, h2 long, hi long, lo long")
+        load = self.counts.groupBy(_shard(self.shards)).agg(F.ceil(F.sum("n_docs") / PROBES).cast("int").alias("salts"))
+        held = self.filters.join(load, "shard")
+        salts = F.broadcast(held.select("shard", "salts"))  # a row for each SHARD_KEYS frequent keys
+        dealt = found.withColumn("shard", _shard(self.shards)).join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("h1", F.spark_partition_id()), "salts").cast("int")).drop("salts")
+        copies = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter")
+        return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe, "h1 long, h2 long, hi long, lo long")
+
+    def apply(self, documents: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """``documents`` with text without its frequent lines, and two columns ``names``: lines before, lines dropped.
+
+        Columns of ``documents`` that have these names already are replaced.
+        """
+        kept = [c for c in documents.columns if c not in names]
+        rows = documents.select(kept)
+        h1, h2, hits = fresh([*kept, *names], "h1", "h2", "hits")
+        marks = {h1: F.xxhash64("text"), h2: F.xxhash64(F.lit(1), F.md5(F.col("text").cast("binary")))}
+        texts = documents.select(F.col("text").cast("string").alias("text")).select("text", marks[h1].alias("h1"), marks[h2].alias("h2"))
+        exact = self.suspects(texts).join(self.frequent().hint("merge"), ["hi", "lo"])
+        lost = exact.groupBy("h1", "h2").agg(F.collect_set(F.struct("hi", "lo")).alias(hits))
+        lost = lost.select(F.col("h1").alias(h1), F.col("h2").alias(h2), hits)
+        # A merge join at every size: both sides grow with the documents.
+        joined = rows.withColumn("text", F.col("text").cast("string")).withColumns(marks).join(lost.hint("merge"), [h1, h2], "left").select(*kept, hits)
+        out = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema) + f", `{names[0]}` long, `{names[1]}` long"
+        return joined.mapInArrow(_drop_listed(self.min_chars, hits, names), out)
+
+
+def _probe(probes: pa.Table, filters: pa.Table) -> pa.Table:
+    if not filters.num_rows or not probes.num_rows:
+        return _TEXT_KEYS.empty_table()
+    probes = probes.select(_TEXT_KEYS.names)
+    held = CuckooFilter.from_bytes(filters["filter"][0].as_py())
+    return probes.take(pa.array(np.flatnonzero(held.contains(probes["lo"].to_numpy().view(np.uint64))))).group_by(_TEXT_KEYS.names).aggregate([])
 
 
 def _move(key, filters: pa.Table, crossed: pa.Table) -> pa.Table:
+    """The filter after keys left and entered it; null when it is too small for them."""
     blob = filters["filter"][0].as_py() if filters.num_rows else CuckooFilter(len(crossed)).to_bytes()
     made = CuckooFilter.from_bytes(blob)
-    for lo, enters in zip(crossed["lo"].to_numpy().view(np.uint64), crossed["enters"].to_pylist(), strict=True):
-        if enters and not made.insert(lo):
-            raise RuntimeError("a line shard is full: rebuild the index with more shards")
-        if not enters:
-            made.delete(lo)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([made.to_bytes()], pa.binary())], names=["shard", "filter"])
+    enters = np.array(crossed["enters"].to_pylist(), dtype=bool)
+    los = crossed["lo"].to_numpy().view(np.uint64)
+    for lo in los[~enters]:
+        made.delete(lo)
+    blob = made.to_bytes() if all(made.insert(lo) for lo in los[enters]) else None
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "filter"])
 
 
-def _without(batch: pa.RecordBatch, texts: list, n_lines: list, n_dropped: list, names: list[str]) -> pa.RecordBatch:
-    columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+def _drop_listed(min_chars: int, hits: str, names: tuple[str, str]):
+    """Texts without the lines whose keys are in column ``hits``."""
 
-
-def _drop_broadcast(sent, min_chars: int):
-    def run(batches):
-        blobs, exact, shards = sent.value
-        filters = {k: CuckooFilter.from_bytes(v) for k, v in blobs.items()}
-        known = {(hi, lo) for lo, hi in exact.tolist()}
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text in batch["text"]:
-                lines = _lines(text)
-                keys = [line_key(x) for x in lines]
-                pairs = [_hash(k) if len(k) >= min_chars and (min_chars <= 1 or _points(k) >= min_chars) else None for k in keys]
-                at = [k for k, p in enumerate(pairs) if p]
-                hi = np.array([pairs[k][0] for k in at], dtype=np.int64)
-                lo = np.array([pairs[k][1] for k in at], dtype=np.int64).view(np.uint64)
-                maybe = np.zeros(len(at), dtype=bool)
-                of = hi % shards
-                for shard, held in filters.items():
-                    mine = np.flatnonzero(of == shard) if shards > 1 else slice(None)
-                    maybe[mine] = held.contains(lo[mine])
-                gone = {at[k] for k in np.flatnonzero(maybe).tolist() if pairs[at[k]] in known}
-                texts.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else b"\n".join(lines))
-                n_lines.append(len(lines))
-                n_dropped.append(len(gone))
-            yield _without(batch, [x.decode("utf-8") for x in texts], n_lines, n_dropped, batch.schema.names)
-
-    return run
-
-
-def _drop_listed(min_chars: int):
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [c for c in batch.schema.names if c != "_hits"]
+            kept = [c for c in batch.schema.names if c != hits]
             texts, n_lines, n_dropped = [], [], []
-            for text, hits in zip(batch["text"], batch["_hits"].to_pylist(), strict=True):
-                known = {(h["hi"], h["lo"]) for h in hits or []}
-                lines = _lines(text)
-                kept = [x for x in lines if len(k := line_key(x)) < min_chars or (min_chars > 1 and _points(k) < min_chars) or _hash(k) not in known]
-                texts.append(b"\n".join(kept).decode("utf-8"))
+            for text, lost in zip(batch["text"], batch[hits].to_pylist(), strict=True):
+                lines = stay = _lines(text)
+                if lost:
+                    known = {(h["hi"], h["lo"]) for h in lost}
+                    stay = [x for x in lines if len(k := line_key(x)) < min_chars or (min_chars > 1 and _points(k) < min_chars) or _hash(k) not in known]
+                texts.append(b"\n".join(stay).decode("utf-8"))
                 n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-            yield _without(batch, texts, n_lines, n_dropped, names)
+                n_dropped.append(len(lines) - len(stay))
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept, *names])
 
     return run
 
 
-def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """All columns of ``documents``, text without the lines whose key is in ``min_docs`` documents or more, and n_lines, n_dropped.
+def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of ``documents``, text without the lines whose key is in ``min_docs`` documents or more, and columns ``names``.
 
     A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at its
     ends, A-Z lower-cased; keys under ``min_chars`` code points always stay. A
     null or empty text is one empty line and comes back as an empty text. Rows
     with equal ids are documents of their own. An empty table gives no rows.
     """
-    return LineIndex.build(documents, min_docs, min_chars).apply(documents)
+    return LineIndex.build(documents, min_docs, min_chars).apply(documents, names)
 
 
 def sha256_hex(column: str = "text") -> F.Column:
