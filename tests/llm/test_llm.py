@@ -238,6 +238,35 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_packing_classes_keep_documents_whole():
+    rng = random.Random(3)
+    lengths = [int(min(20_000, 20 + 300 * rng.paretovariate(1.0))) for _ in range(6000)]
+    bins = packing.Bins(0)
+    rows = [r for k, n in enumerate(lengths) for r in bins.add(k, np.arange(n, dtype="<u4").tobytes())] + bins.close()
+    back, room = {}, {}
+    for doc_id, start, length, crc, total, number, at, ids in rows:
+        assert zlib.crc32(ids) == crc and len(ids) == 4 * length and total == lengths[doc_id]
+        back.setdefault(doc_id, []).append((start, ids))
+        room.setdefault(number, []).append((at, length, doc_id))
+    assert all(b"".join(x for _, x in sorted(back[k])) == np.arange(n, dtype="<u4").tobytes() for k, n in enumerate(lengths))
+    sizes = [sum(n for _, n, _ in x) for x in room.values()]
+    assert all(n & (n - 1) == 0 for n in sizes) and sum(n < 1024 for n in sizes) <= 10
+    short = [k for k, n in enumerate(lengths) if n <= 1024]
+    assert sum(len(back[k]) == 1 for k in short) > 0.95 * len(short)
+    whole = [[lengths[d] for _, n, d in x if n == lengths[d]] for x in room.values()]
+    assert sum(len({1024 // n for n in x}) <= 1 for x in whole) > 0.9 * len(whole)  # a bin's whole documents are of one class
+
+
+@pytest.mark.parametrize("lengths", [[1] * 3000, [700] * 900, [513, 511] * 400, [1024] * 5, [5000], []])
+def test_packing_of_even_lengths(lengths):
+    bins = packing.Bins(0, waiting=20)
+    rows = [r for k, n in enumerate(lengths) for r in bins.add(k, bytes(4 * n))] + bins.close()
+    sizes = {}
+    for r in rows:
+        sizes[r[5]] = sizes.get(r[5], 0) + r[2]
+    assert sum(sizes.values()) == sum(lengths) and all(n & (n - 1) == 0 and n <= 1024 for n in sizes.values())
+
+
 def kept_lines(texts, least=10):
     strip = " \t\n\x0b\x0c\r"
     key = lambda line: lower(line.strip(strip))
@@ -261,16 +290,46 @@ def lined():
     return [*texts, "", None, "\n\n", "Été", "x" * 50_000]
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_line_dedup_matches_brute_force(spark, lined, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(linededup, "BROADCAST_KEYS", -1)
-    got = linededup.dedup_lines(documents(spark, lined).withColumn("hi", F.lit(3))).orderBy("doc_id").collect()
+@pytest.mark.parametrize("probes", [5, 250_000])
+def test_line_dedup_matches_brute_force(spark, lined, probes, monkeypatch):
+    monkeypatch.setattr(linededup, "PROBES", probes)
+    rows = documents(spark, lined).withColumns({c: F.lit(3) for c in ("hi", "h1", "shard", "hits", "salt")})
+    got = linededup.dedup_lines(rows).orderBy("doc_id").collect()
     assert [(r["n_lines"], r["n_dropped"], r["text"]) for r in got] == kept_lines(lined)
-    assert got[0]["hi"] == 3
+    assert all(got[0][c] == 3 for c in ("hi", "h1", "shard", "hits", "salt"))
     assert linededup.dedup_lines(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_counts_repeated_rows_and_keeps_named_columns(spark):
+    rows = spark.createDataFrame([(1, "a\nb", 7)] * 9 + [(None, "A \nc", 7)], "doc_id long, text string, n_lines int")
+    got = linededup.dedup_lines(rows, names=("lines_before", "lines_gone")).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["lines_before"], r["lines_gone"]) for r in got) == [("1", "b", 7, 2, 1)] * 9 + [("None", "c", 7, 2, 1)]
+
+
+def test_only_what_the_filters_hold_is_looked_up(spark, lined):
+    index = linededup.LineIndex.build(documents(spark, lined), shards=2)
+    texts = documents(spark, lined).select("text", F.xxhash64("text").alias("h1"), F.lit(1).cast("long").alias("h2"))
+    suspects, frequent = index.suspects(texts).select("hi", "lo"), index.frequent()
+    assert suspects.count() > 0 and frequent.exceptAll(suspects.distinct()).count() == 0
+    assert suspects.distinct().count() <= frequent.count() + 2 < index.counts.count()
+
+
+def test_line_filters_grow_with_added_documents(spark, monkeypatch):
+    pool = [f"line {k}" for k in range(600)]
+    one = ["\n".join(pool[:20])] * 10 + ["x"]
+    two = ["\n".join(pool[k : k + 40]) for k in range(0, 600, 40)] * 12
+    for keys in (100_000, 10):
+        monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
+        index = linededup.LineIndex.build(documents(spark, one), shards=1)
+        both = index.add(documents(spark, two, 100))
+        assert (both.shards > 1) == (keys == 10)
+        want = [t for *_, t in kept_lines([*one, *two])]
+        assert [r["text"] for r in both.apply(documents(spark, one).unionByName(documents(spark, two, 100))).orderBy("doc_id").collect()] == want
+        back = both.remove(documents(spark, two, 100))
+        assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
+        assert [r["text"] for r in back.apply(documents(spark, one)).orderBy("doc_id").collect()] == [t for *_, t in kept_lines(one)]
+
+
 def test_line_index_is_reversible(spark, lined):
     one, two = documents(spark, lined[:40]), documents(spark, lined[40:], 40)
     index = linededup.LineIndex.build(one, shards=3)

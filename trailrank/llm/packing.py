@@ -1,21 +1,25 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-A document's ids are cut into pieces whose lengths are reciprocal parts of the
-capacity: as many whole sequences as fit, then one piece for each binary digit
-of the remainder. A piece of length capacity/k belongs to class k, and a bin of
-class k holds exactly k pieces, so a full bin has no padding. Every worker fills
-the bins of its own classes while it reads its partition: nothing is shuffled,
-and a lost partition is rebuilt with the same ids. What is left open at a
-partition's end is at most one bin for each class; its pieces are spread over
-sequences of power-of-two length, which are not padded either.
+A document of n ids, n at most the capacity, belongs to class k = capacity // n,
+and a bin of class k takes exactly k documents, whole. Longer documents are cut
+into whole sequences and a tail. What a full bin leaves free is filled with
+pieces of tails; tails that no bin needs are packed like documents. A bin waits
+for its filling; when ``WAITING`` bins do, the next documents are cut for them.
+
+Every worker fills the bins of its own classes while it reads its partition:
+nothing is shuffled, and a lost partition is rebuilt with the same ids. What is
+open at a partition's end, at most one bin of each class and the waiting ones, is
+packed first-fit by falling length; the emptiest bins' documents then fill the
+others, and the last bin is cut into sequences of power-of-two length. So no
+sequence needs padding.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 #: Distinct word chunks whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 400_000
+#: Full bins that may wait for tails, and tails that may wait for bins.
+WAITING, TAILS = 256, 64
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -33,26 +39,24 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 class Encoder:
     """ids of a byte-level BPE vocabulary as little-endian uint32 bytes.
 
-    Equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the
-    ``tokenizers`` file: words end where white space begins, so chunks of white
-    space and a word are encoded on their own and remembered. Texts with other
-    white space than blanks and newlines are encoded whole.
+    Equal to ``Tokenizer.encode(text, add_special_tokens=False)``: words end where
+    white space begins, so chunks of white space and a word are encoded on their
+    own and remembered. Texts with other white space than blanks and newlines, or
+    with a special token's own string, are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
-        import tiktoken
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = special
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
+    def __call__(self, text: str) -> bytes:
+        if _OTHER_SPACE.search(text) or any(x in text for x in self.special):
             return self._ids(text)
         seen, out = self.seen, []
         for chunk in _CHUNKS.findall(text):
@@ -66,74 +70,122 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
-    def __call__(self, text: str) -> bytes:
-        for word, number in self.special.items():
-            if word in text:
-                return array("I", [number]).tobytes().join(self(x) for x in text.split(word))
-        return self._plain(text)
-
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(tokenizer: str) -> Encoder:
-    """The encoder of ``<tokenizer>.json``, whose ranks are in ``<tokenizer>.tiktoken`` beside it."""
+    """The encoder of the public tokenizer file ``<tokenizer>.json``."""
     if tokenizer not in _encoders:
-        import json
-
         import public_tokenizers
 
-        with open(public_tokenizers.path(f"{tokenizer}.json")) as file:
-            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
-        _encoders[tokenizer] = Encoder(public_tokenizers.path(f"{tokenizer}.tiktoken"), public_tokenizers.PATTERN, special)
+        _encoders[tokenizer] = Encoder(public_tokenizers.path(f"{tokenizer}.json"))
     return _encoders[tokenizer]
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of the pieces of a document of ``n`` ids: whole sequences, then falling powers of two."""
-    out = [capacity] * (n // capacity)
-    rest, part = n % capacity, capacity >> 1
-    while rest:
-        if rest >= part:
-            out.append(part)
-            rest -= part
-        part >>= 1
-    return out
+class Piece:
+    """Ids ``start`` to ``start + length`` of a document, as bytes."""
 
+    __slots__ = ("doc_id", "start", "length", "total", "ids")
 
-class Bins:
-    """Open bins of one worker: for each piece length its bin's number and how many pieces it has."""
+    def __init__(self, doc_id, start: int, length: int, total: int, ids: bytes):
+        self.doc_id, self.start, self.length, self.total, self.ids = doc_id, start, length, total, ids
 
-    def __init__(self, first_id: int, capacity: int = CAPACITY):
-        self.next_id, self.capacity = first_id, capacity
-        self.open: dict[int, list] = {}
+    def take(self, n: int) -> Piece:
+        """The first ``n`` ids; they leave this piece."""
+        first = Piece(self.doc_id, self.start, n, self.total, self.ids[: 4 * n])
+        self.start, self.length, self.ids = self.start + n, self.length - n, self.ids[4 * n :]
+        return first
 
-    def _new(self) -> int:
+
+class Bins:
+    """One worker's bins; ``add`` and ``close`` return rows of pieces that have got their places."""
+
+    def __init__(self, first_id: int, capacity: int = CAPACITY, waiting: int = WAITING, tails: int = TAILS):
+        self.next_id, self.capacity, self.most_waiting, self.most_tails = first_id, capacity, waiting, tails
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: deque[list[Piece]] = deque()
+        self.tails: deque[Piece] = deque()
+        self.done: list[list] = []
+
+    def _place(self, pieces: list[Piece]) -> None:
+        at = 0
+        for p in pieces:
+            self.done.append([p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.total, self.next_id, at, p.ids])
+            at += p.length
         self.next_id += 1
-        return self.next_id - 1
 
-    def add(self, piece: list, length: int) -> list[list]:
-        """The pieces that this one completes a bin of, each with (sequence_id, offset) appended."""
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._place(held, length)
+    def _room(self, pieces: list[Piece]) -> int:
+        return self.capacity - sum(p.length for p in pieces)
 
-    def _place(self, held: list[list], length: int) -> list[list]:
-        number = self._new()
-        return [[*p, number, k * length] for k, p in enumerate(held)]
+    def _classed(self, piece: Piece) -> None:
+        k = self.capacity // piece.length
+        held = self.open.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            self.open[k] = []
+            self.waiting.append(held)
+            self._fill()
+
+    def _fill(self) -> None:
+        """Tails into what waiting bins have free."""
+        while self.waiting:
+            held = self.waiting[0]
+            room = self._room(held)
+            while room and self.tails:
+                tail = self.tails[0]
+                held.append(tail.take(room) if tail.length > room else self.tails.popleft())
+                room -= held[-1].length
+            if room:
+                return
+            self._place(self.waiting.popleft())
+
+    def add(self, doc_id, ids: bytes) -> list[list]:
+        piece = Piece(doc_id, 0, len(ids) // 4, len(ids) // 4, ids)
+        while piece.length > self.capacity:
+            self._place([piece.take(self.capacity)])
+        if piece.total <= self.capacity and len(self.waiting) <= self.most_waiting or piece.length == self.capacity:
+            self._classed(piece)
+        else:
+            self.tails.append(piece)
+            self._fill()
+            if len(self.tails) > self.most_tails:
+                self._classed(self.tails.popleft())
+        done, self.done = self.done, []
+        return done
 
     def close(self) -> list[list]:
-        out = []
-        for length, held in sorted(self.open.items()):
-            while held:
-                part = 1 << (len(held).bit_length() - 1)
-                out += self._place(held[:part], length)
-                held = held[part:]
-        self.open = {}
-        return out
+        bins = list(self.waiting)
+        rooms = [self._room(b) for b in bins]
+        left = [*self.tails, *(p for held in self.open.values() for p in held)]
+        for piece in sorted(left, key=lambda p: -p.length):
+            at = next((k for k, room in enumerate(rooms) if room >= piece.length), len(bins))
+            if at == len(bins):
+                bins.append([])
+                rooms.append(self.capacity)
+            bins[at].append(piece)
+            rooms[at] -= piece.length
+        order = deque(sorted(bins, key=self._room))
+        while order:
+            held = order.popleft()
+            room = self._room(held)
+            while room and order:
+                last = order[-1]
+                held.append(last[-1].take(room) if last[-1].length > room else last.pop())
+                room -= held[-1].length
+                if not last:
+                    order.pop()
+            while held:  # whole, or of a power of two
+                size = self.capacity - room
+                part, want = [], 1 << (size.bit_length() - 1)
+                room += want
+                while want:
+                    part.append(held[0].take(want) if held[0].length > want else held.pop(0))
+                    want -= part[-1].length
+                self._place(part)
+        self.open, self.waiting, self.tails = {}, deque(), deque()
+        done, self.done = self.done, []
+        return done
 
 
 _OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -144,8 +196,7 @@ def _pack(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
 
     def rows(done: list[list]) -> pa.RecordBatch:
         columns = list(zip(*done, strict=True)) if done else [[]] * 8
-        columns = [*columns[:3], columns[3], columns[4], columns[6], columns[7], *([columns[5]] if with_ids else [])]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)  # noqa: B905
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), array("I", [end_id]).tobytes()
@@ -154,12 +205,7 @@ def _pack(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
         for batch in batches:
             done: list[list] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py() or "") + end
-                total, start = len(ids) // 4, 0
-                for length in cuts(total, capacity):
-                    part = ids[4 * start : 4 * (start + length)]
-                    done += bins.add([doc_id, start, length, zlib.crc32(part), total, part if with_ids else None], length)
-                    start += length
+                done += bins.add(doc_id, encode(text.as_py() or "") + end)
                 if len(done) >= 20_000:
                     yield rows(done)
                     done = []
@@ -172,7 +218,8 @@ def _pack(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
 def pack(documents: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents and their places: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
-    ``capacity`` is a power of two. A null or empty text is the end id alone. A
+    ``capacity`` is a power of two. Every sequence is full or of a power-of-two length.
+    A null or empty text is the end id alone. A
     text that holds a special token's own string gets that token's id. Repeated
     rows and ids, and null ids, are documents like others. Other columns are
     ignored; an empty table gives no rows. sequence_id is unique over all
