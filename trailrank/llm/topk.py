@@ -1,17 +1,19 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Vectors become integers floor(256 * x). Rows are dealt into blocks; a block's
-index holds, for each dimension and each quantised impact level, the posting
-segment of the rows whose component lies in that level. Queries come in blocks
-too and meet every index block.
-
-Segments are taken level by level: for positive query weights from the highest
-impacts down, for negative ones from the lowest up. After each level a row's
-score is bounded by what it has gathered plus, for each dimension still open,
-the best impact left in it. Rows with the best bounds are scored exactly to get
-a k-th best score; a query stops when the rows whose bound still reaches it are
-few, and all of those are scored exactly. That is the proof: no other row can
-enter. Sums are exact integers throughout.
+Vectors become integers floor(256 * x). Rows are dealt into blocks. A block's
+index has, for each dimension, the rows ordered by component and cut into posting
+segments by quantised impact level. For a positive query weight a row's impact is
+its component above the dimension's least one, for a negative weight the distance
+below the greatest one; so impacts are never negative, and a query's score is a
+constant plus the sum of weight times impact.
+
+A query takes the segments of all dimensions in descending order of weight times
+greatest impact and adds to its rows' accumulators. From time to time each row's
+score is bounded: by what it has gathered plus, for every dimension that has not
+reached it yet, the best impact left there. The rows that have gathered most are
+scored exactly; when few rows' bounds still reach the k-th best of these scores,
+the query stops and scores all of those exactly. That is the proof: no other row
+can enter. Sums are exact integers throughout.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from trailrank.llm._store import cut
 
 SCALE = 256
-LEVELS = 6
-ROW_BLOCK, QUERY_BLOCK = 8192, 4096
-#: Queries that walk the segments together in a task.
-WALK = 128
+LEVELS = 16
+#: Components of an index block, and of a query block.
+CELLS = 1 << 19
 #: A query ends when no more rows than this may still be members.
 FEW = 64
+#: Shares of all postings after which bounds are looked at.
+LOOKS = (0.3, 0.55, 0.75, 0.9)
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -41,87 +44,117 @@ def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
     return kept.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("vector"), F.size(vector).alias("dim"))
 
 
-def _blob(table: pa.Table) -> tuple[bytes, bytes]:
-    order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
-    ids = table["vec_id"].to_numpy()[order]
-    values = table["vector"].combine_chunks()
-    matrix = values.flatten().to_numpy().reshape(len(ids), -1)[order]
-    return ids.tobytes(), matrix.astype(np.int64).tobytes()
-
-
 def _pack(table: pa.Table) -> pa.Table:
-    ids, matrix = _blob(table)
-    return pa.table([table["dim"].slice(0, 1), table["block"].slice(0, 1), pa.array([ids], pa.binary()), pa.array([matrix], pa.binary())], names=["dim", "block", "ids", "matrix"])
-
-
-class Segments:
-    """The posting segments of one block: components split by impact level."""
-
-    def __init__(self, matrix: np.ndarray, exact: type):
-        low, high = int(matrix.min()), int(matrix.max())
-        width = max(1, -(-(high - low + 1) // LEVELS))
-        self.level = (matrix - low) // width
-        self.parts = [np.where(self.level == k, matrix, 0).astype(exact) for k in range(LEVELS)]
-        top = np.array([np.where(self.level <= k, matrix, low).max(axis=0) for k in range(LEVELS)])
-        bottom = np.array([np.where(self.level >= k, matrix, high).min(axis=0) for k in range(LEVELS)])
-        self.top, self.bottom = top.astype(exact), bottom.astype(exact)
-        self.below = [(self.level < k).astype(exact) for k in range(LEVELS)]
-        self.above = [(self.level > k).astype(exact) for k in range(LEVELS)]
+    """One row for a block: its rows' numbers and ids, and its components in the narrowest type that holds them."""
+    order = np.argsort(table["row"].to_numpy(), kind="stable")
+    numbers, ids = table["row"].to_numpy()[order], table["vec_id"].to_numpy()[order]
+    matrix = table["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+    width = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= matrix.min() and matrix.max() <= np.iinfo(t).max)
+    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (numbers, ids, matrix.astype(width))]
+    return pa.table([table["dim"].slice(0, 1), table["block"].slice(0, 1), *blobs], names=["dim", "block", "rows", "ids", "matrix"])
+
+
+_PACKED = "dim int, block int, rows binary, ids binary, matrix binary"
+
+
+def _unpack(row: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers, ids = (np.frombuffer(row[side + c], np.int64) for c in ("rows", "ids"))
+    size = len(row[side + "matrix"]) // (len(ids) * row["dim"])
+    return numbers, ids, np.frombuffer(row[side + "matrix"], f"i{size}").reshape(len(ids), row["dim"]).astype(np.int64)
+
+
+class Postings:
+    """The posting segments of one block of integer vectors."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+        n, dims = matrix.shape
+        self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
+        width = -(-(self.high - self.low + 1) // LEVELS)
+        self.level = ((matrix - self.low) // width).astype(np.int8)
+        order = np.argsort(matrix, axis=0, kind="stable")
+        self.rows = np.ascontiguousarray(order.T).ravel()
+        self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, 0).T).ravel()
+        levels = np.take_along_axis(self.level, order, 0).T
+        starts = np.array([np.searchsorted(x, np.arange(LEVELS + 1)) for x in levels])
+        dim, level = np.nonzero(np.diff(starts, axis=1) > 0)
+        self.dim, self.of_level = dim, level
+        self.first, self.last = starts[dim, level] + dim * n, starts[dim, level + 1] + dim * n
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, score) of the possible members of the k best, row ``own`` left out (-1: none)."""
+        matrix, n = self.matrix, len(self.matrix)
+        others = n - (own >= 0)
+        if others <= max(FEW, k):
+            rows = np.flatnonzero(np.arange(n) != own)
+            return rows, matrix[rows] @ query
+        weight, up = np.abs(query), query > 0
+        dim_up = up[self.dim]
+        best = np.where(dim_up, self.values[self.last - 1] - self.low[self.dim], self.high[self.dim] - self.values[self.first]) * weight[self.dim]
+        order = np.argsort(-best, kind="stable")
+        order = order[best[order] > 0]
+        sizes = np.cumsum((self.last - self.first)[order])
+        ends = np.searchsorted(sizes, np.array([*LOOKS, 1.0]) * (sizes[-1] if len(sizes) else 0))
+        gathered, done = np.zeros(n), 0
+        for step, end in enumerate(ends):
+            part = order[done : min(end + 1, len(order))]
+            done += len(part)
+            if len(part):
+                spans = [slice(a, b) for a, b in zip(self.first[part], self.last[part], strict=True)]
+                dims = np.repeat(self.dim[part], (self.last - self.first)[part])
+                values = np.concatenate([self.values[x] for x in spans])
+                impacts = np.where(up[dims], values - self.low[dims], self.high[dims] - values) * weight[dims]
+                gathered += np.bincount(np.concatenate([self.rows[x] for x in spans]), impacts, n)
+            if step == len(ends) - 1:
+                bound = gathered.copy()
+            else:  # what each dimension may still add to the rows that it has not reached
+                left = order[done:]
+                ahead = np.zeros(len(query))
+                np.maximum.at(ahead, self.dim[left], best[left])
+                passed = order[:done]
+                reached = np.where(up, LEVELS, -1)
+                np.minimum.at(reached, self.dim[passed[dim_up[passed]]], self.of_level[passed[dim_up[passed]]])
+                np.maximum.at(reached, self.dim[passed[~dim_up[passed]]], self.of_level[passed[~dim_up[passed]]])
+                unseen = np.where(up, self.level < reached, self.level > reached)
+                bound = gathered + unseen @ ahead
+            if own >= 0:
+                bound[own] = -1
+            likely = np.argpartition(-bound, k - 1)[:k] if step == len(ends) - 1 else np.argpartition(-np.where(bound < 0, -1, gathered), k - 1)[:k]
+            base = np.where(up, self.low, self.high) @ query
+            least = (matrix[likely] @ query - base).min()
+            rows = np.flatnonzero(bound >= least)
+            if len(rows) <= max(FEW, 4 * k) or step == len(ends) - 1:
+                break
+        return rows, matrix[rows] @ query
 
 
-def search_block(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score): the k best of a block for each query, ties to the smaller id, a query's own row left out."""
-    reach = int(np.abs(matrix).max(initial=1)) * int(np.abs(queries).max(initial=1)) * matrix.shape[1]
-    exact = np.float32 if reach < 2**23 else np.float64
+def search_block(postings: Postings, numbers: np.ndarray, ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query row, vec_id, score): the k best of a block for each query, ties to the smaller id, the query's own row left out."""
+    reach = int(np.abs(postings.matrix).max(initial=1)) * int(np.abs(queries).max(initial=1)) * 2 * postings.matrix.shape[1]
     if reach >= 2**52:
         raise ValueError("components are too large for exact sums")
-    segments, found = Segments(matrix, exact), []
-    dense = matrix.astype(exact)
-    for at in range(0, len(queries), WALK):
-        alive = np.arange(at, min(at + WALK, len(queries)))
-        up, down = np.maximum(queries[alive], 0).astype(exact), np.minimum(queries[alive], 0).astype(exact)
-        gathered = np.zeros((len(alive), len(ids)), exact)
-        own = query_ids[alive, None] == ids[None, :]
-        for step in range(LEVELS):
-            high, low = LEVELS - 1 - step, step
-            gathered += up @ segments.parts[high].T + down @ segments.parts[low].T
-            last = step == LEVELS - 1
-            if last:
-                bound = gathered
-            elif step < LEVELS // 2 - 1:
-                continue
-            else:
-                bound = gathered + (up * segments.top[high - 1]) @ segments.below[high].T + (down * segments.bottom[low + 1]) @ segments.above[low].T
-            bound = np.where(own, -np.inf, bound)
-            size = min(k, len(ids))
-            likely = np.argpartition(-bound, size - 1, axis=1)[:, :size]
-            q = up + down
-            scored = np.where(np.take_along_axis(own, likely, 1), -np.inf, np.einsum("qd,qkd->qk", q, dense[likely]))
-            worst = scored.min(axis=1)
-            possible = (bound >= worst[:, None]) & ~own
-            over = (possible.sum(axis=1) <= max(FEW, 4 * k)) | last
-            for row in np.flatnonzero(over):
-                members = np.flatnonzero(possible[row])
-                scores = matrix[members] @ queries[alive[row]]
-                best = np.lexsort((ids[members], -scores))[:k]
-                found += [(int(query_ids[alive[row]]), int(ids[members[b]]), int(scores[b])) for b in best]
-            keep = ~over
-            alive, up, down, gathered, own = alive[keep], up[keep], down[keep], gathered[keep], own[keep]
-            if not len(alive):
-                break
+    found = []
+    at = np.searchsorted(numbers, query_rows)  # numbers ascend
+    own = np.where((at < len(numbers)) & (numbers[at.clip(max=len(numbers) - 1)] == query_rows), at, -1)
+    for number, query, mine in zip(query_rows.tolist(), queries, own.tolist(), strict=True):
+        rows, scores = postings.search(query, mine, k)
+        best = np.lexsort((ids[rows], -scores))[:k]
+        found += [(number, int(ids[rows[b]]), int(scores[b])) for b in best]
     return found
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, postings = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                matrix = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), -1)
-                queries = np.frombuffer(row["query_matrix"], np.int64).reshape(len(query_ids), -1)
-                found = search_block(ids, matrix, query_ids, queries, k)
+                numbers, ids, matrix = _unpack(row)
+                if block != (row["dim"], row["block"]):  # a block's rows follow each other
+                    block, postings = (row["dim"], row["block"]), Postings(matrix)
+                query_rows, _, queries = _unpack(row, "query_")
+                found = search_block(postings, numbers, ids, query_rows, queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 3)], schema=schema)
 
     return run
@@ -132,20 +165,24 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows but the query's own, of the query's dimension. Fewer than k candidates
-    give fewer rows; ties go to the smaller id. Null or non-finite vectors take
-    no part. Rows with one id are candidates each; a query with a repeated id
-    counts once and none of the rows with its id is its candidate. An empty
-    table gives no rows.
+    give fewer rows; ties go to the smaller id. Null, empty or non-finite vectors
+    take no part. Rows with one id are rows of their own: each is a query, and a
+    candidate of the others. An empty table gives no rows.
+
+    Index blocks go through a shuffle once; query blocks, a fiftieth of the rows,
+    are copied to each index block.
     """
-    vectors = cut(integer_vectors(rows, id_column, vector), "vectors")
-    sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"))
-    sizes = cut(sizes.select("dim", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("query_blocks")), "sizes")
-    dealt = vectors.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), "blocks").cast("int"))
-    index = cut(dealt.select("dim", "block", "vec_id", "vector").groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, matrix binary"), "index")
-    asked = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int"))
-    asked = cut(asked.select("dim", "block", "vec_id", "vector").groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, matrix binary"), "asked")
-    left = index.join(sizes, "dim").where("query_blocks > 0").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    right = asked.join(sizes, "dim").select("dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = left.select("dim", "block", "query_block", "ids", "matrix").join(right, ["dim", "block", "query_block"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors = cut(integer_vectors(rows, id_column, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asks = F.col("vec_id") % every == 0
+    blocks = lambda n: F.ceil(n * F.col("dim") / CELLS).cast("int")
+    sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(asks.cast("long")).alias("q")).where("q > 0")
+    sizes = cut(sizes.select("dim", blocks(F.col("n")).alias("blocks"), blocks(F.col("q")).alias("query_blocks")), "sizes")
+    dealt = lambda of, n: of.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("row"), n).cast("int")).select("dim", "block", "row", "vec_id", "vector")
+    index = dealt(vectors, "blocks").groupBy("dim", "block").applyInArrow(_pack, _PACKED)
+    asked = cut(dealt(vectors.where(asks), "query_blocks").groupBy("dim", "block").applyInArrow(_pack, _PACKED), "asked")
+    copies = asked.join(sizes, "dim").select("dim", *[F.col(c).alias(f"query_{c}") for c in ("rows", "ids", "matrix")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    found = index.join(copies.hint("merge"), ["dim", "block"]).mapInArrow(_search(k), "query_row long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
+    found = found.withColumn("rank", best).where(F.col("rank") <= k)
+    names = vectors.where(asks).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return found.join(names, "query_row").select("query_id", "rank", "vec_id", "score")
