@@ -189,6 +189,51 @@ def test_fingerprints_and_edits(spark, corpus):
     assert simhash.fingerprint_edits(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def fingerprint_by_force(text):
+    """The vote, bit by bit, over words and word pairs with the operator's own term hashes."""
+    from trailrank.llm import _text
+
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    words, _ = _text.hash_words(raw, np.array([0, len(raw)])) if len(raw) else (np.zeros(0, np.uint64), None)
+    pairs = [int(_text.mix(np.array([a], np.uint64) * np.uint64(3) + np.array([b], np.uint64))[0]) for a, b in itertools.pairwise(words)]
+    votes = [0.0] * 128
+    for term, times in Counter([*map(int, words), *pairs]).items():
+        for half, hashed in enumerate((_text.mix(np.array([term], np.uint64) ^ simhash._OTHER)[0], _text.mix(np.array([term], np.uint64) + simhash._OTHER)[0])):
+            for at, byte in enumerate(int(hashed).to_bytes(8, "little")):
+                for bit in range(8):
+                    votes[64 * half + 8 * at + bit] += (1 + np.log(times)) * (1 if byte >> (7 - bit) & 1 else -1)
+    return f"{int(''.join('1' if round(v, 6) > 0 else '0' for v in votes), 2):032x}"
+
+
+def test_edits_of_odd_rows_match_brute_force(spark, corpus):
+    texts = [*corpus[:12], "", None, "one two three"] + [corpus[0]] * 6
+    ids = [0, 0, 50, 50, 100, 7, 8, None, None, 9, 150, 51, 52, 200, 53, 250, 250, 250, 300, None, 54]
+    rows = spark.createDataFrame(list(zip(ids, texts, [1] * 21, strict=True)), "doc_id long, text string, mark int")
+    got = simhash.fingerprint_edits(rows, 4).collect()
+    marks = [fingerprint_by_force(t) for t in texts]
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter(zip(ids, marks, strict=True))
+    near = Counter((i, m, sum((int(m, 16) ^ int(x, 16)).bit_count() <= 3 for x in marks) - 1) for i, m in zip(ids, marks, strict=True) if i is not None and i % 50 == 0)
+    assert Counter((r["doc_id"], r["fingerprint"], r["n_near"]) for r in got if r["n_near"] is not None) == near
+    for r in got:
+        assert r["near_edited"] == pytest.approx(1 - (int(r["fingerprint"], 16) ^ int(r["edited_fingerprint"], 16)).bit_count() / 128)
+    one = {r["doc_id"]: r for r in simhash.fingerprint_edits(documents(spark, corpus[:5])).collect()}
+    for k in range(5):
+        text, after = corpus[k], corpus[(k - 1) % 5]
+        half = len(text) // 2
+        assert one[k]["edited_fingerprint"] == fingerprint_by_force(text[: len(text) - half] + after[:half])
+
+
+@pytest.mark.parametrize(("radius", "prefix"), [(0, 1), (3, 1), (4, 2)])
+def test_near_counts_match_brute_force(spark, radius, prefix, monkeypatch):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", 7)
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(8)] + [0]
+    marks = base + [b ^ sum(1 << i for i in rng.sample(range(128), k)) for b in base for k in range(7) for _ in range(3)] + [base[0]] * 20
+    rows = spark.createDataFrame([(f"{m:032x}",) for m in marks] + [(None,)], "fingerprint string")
+    want = {f"{a:032x}": sum((a ^ b).bit_count() <= radius for b in marks) for a in base}
+    assert dict(map(tuple, simhash.near_counts(rows.limit(len(base)), rows, radius, prefix).collect())) == want
+
+
 @pytest.mark.parametrize("radius", [0, 3, 6])
 def test_block_tables_find_everything_in_the_radius(spark, radius):
     rng = random.Random(radius)
@@ -397,24 +442,45 @@ def test_toxicity(spark):
 def topk_by_force(rows, k=5):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in good:
+    for n, (i, q) in enumerate(good):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in good if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("n", [3, 400])
 def test_top_k_matches_brute_force(spark, n, monkeypatch):
-    monkeypatch.setattr(topk, "ROW_BLOCK", 150)
+    monkeypatch.setattr(topk, "CELLS", 150 * 16)
     rng = np.random.default_rng(n)
-    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 16)]) for k in range(n)] + [(n + 1, None), (n + 2, [None] * 16), (n + 3, [float("nan")] * 16), (None, [0.1] * 16)]
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 16)]) for k in range(n)] + [(n + 1, None), (n + 2, [None] * 16), (n + 3, [float("nan")] * 16), (None, [0.1] * 16), (50, [float("inf")] * 16), (50, [])]
     rows += [(1000 + k, rows[0][1]) for k in range(9)]
-    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    rows += [(50, rows[1][1]), (50, rows[2][1]), (0, rows[0][1]), (100, [1.0, 0.5]), (101, [0.5, 0.5]), (101, [0.5, -0.5])]
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, row int")
     assert sorted(map(tuple, topk.top_k(frame).collect())) == topk_by_force(rows)
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "skewed", "constant"])
+def test_postings_stop_on_proof_only(kind):
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(0, 100, (3000, 24)).astype(np.int64)
+    if kind == "sparse":
+        matrix = np.where(rng.random(matrix.shape) < 0.08, np.abs(matrix), 0)
+    elif kind == "skewed":
+        matrix = (rng.pareto(1.2, matrix.shape) * 20).astype(np.int64).clip(max=20_000)
+    elif kind == "constant":
+        matrix[:] = 7
+    postings = topk.Postings(matrix)
+    for q in range(0, 3000, 100):
+        query = np.where(rng.random(24) < 0.2, 0, rng.normal(0, 50, 24)).astype(np.int64)
+        rows, scores = postings.search(query, q, 5)
+        truth = matrix @ query
+        truth[q] = np.iinfo(np.int64).min
+        assert sorted(scores)[-5:] == sorted(truth)[-5:] and q not in rows
+        assert set(np.flatnonzero(truth > sorted(truth)[-5])) <= set(rows.tolist())
+
+
 def test_quality_learns_from_allowed_rows_only(spark):
     rng = random.Random(6)
     texts = [prose(rng, 30) if k % 3 else re.sub(" ", "### ", prose(rng, 30)) for k in range(400)]

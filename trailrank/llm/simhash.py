@@ -5,14 +5,16 @@ term's 128-bit hash votes with its weight, for or against, on each bit of the
 fingerprint. Votes are tallied per hash byte, so a text costs one weighted
 histogram rather than 128 additions a term.
 
-``near_pairs`` finds fingerprints within ``radius`` of queries by permuted block
-tables: of ``radius + PREFIX`` blocks at least ``PREFIX`` agree wherever at most
-``radius`` bits differ, so every choice of ``PREFIX`` blocks makes one table,
-keyed by those blocks' bits.
+All fingerprints within ``radius`` of queries are found by permuted block tables:
+of ``radius + prefix`` blocks at least ``prefix`` agree wherever at most ``radius``
+bits differ, so every choice of ``prefix`` blocks makes one table, keyed by those
+blocks' bits. ``near_pairs`` lists the pairs, ``near_counts`` counts them without
+making rows of pairs: a table's key meets its queries in blocks of bounded size,
+and a pair counts in the first table that holds it.
 
 ``fingerprint_edits`` needs each document's successor. Rows are range-dealt by
 descending id and read in order with one document in hand; only the documents at
-the partitions' edges, two a partition, meet in a second small step.
+the partitions' edges meet in a second step, each by the number of its partition.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from trailrank.llm._store import cut
 
 BITS = 128
 PREFIX = 2
+#: Fingerprints of one key that meet the key's queries in one task.
+KEY_BLOCK = 50_000
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
 _PLACES = (np.arange(BITS // 8) * 256)[None, :]
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -120,27 +124,109 @@ def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _judged(0, batch["doc_id"].to_pylist(), batch["text"].to_pylist(), marks, batch["next_text"].to_pylist(), after_marks)
 
 
-def fingerprint_edits(documents: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+def fingerprint_edits(documents: DataFrame, partitions: int | None = None, radius: int = 3, every: int = 50) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near) for every row.
 
     The edited text is the text with its last floor(n/2) code points replaced by
     as many, or all, of the first of the next document in descending doc_id; the
     first follows the last. Null texts are empty, null ids come last, rows with
-    one id follow in order of text. A single row follows itself. Extra columns
+    one id follow in order of the text's hash. A single row follows itself.
+    ``n_near`` is, for rows whose id is divisible by ``every``, the number of
+    other rows with fingerprints within ``radius`` bits, else null. Extra columns
     are ignored; an empty table gives no rows.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = F.col("doc_id").desc_nulls_last()
-    dealt = rows.repartitionByRange(partitions, order) if partitions else rows.repartitionByRange(order)
-    done = cut(dealt.sortWithinPartitions(order, "text").mapInArrow(_in_order, _DONE_DDL), "fingerprints")
-    edges = done.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text", "fingerprint")
-    in_order = Window.orderBy("part", "edge")
-    heads = Window.partitionBy(F.lit(0))
-    first = F.min(F.when(F.col("edge") == 0, F.struct("part", "text", "fingerprint"))).over(heads)
-    edges = edges.withColumn("after_text", F.lead("text").over(in_order)).withColumn("after_mark", F.lead("fingerprint").over(in_order)).withColumn("first", first)
-    last = edges.where("edge = 1").select("doc_id", "text", "fingerprint", F.coalesce("after_text", F.col("first.text")).alias("next_text"), F.coalesce("after_mark", F.col("first.fingerprint")).alias("next_fingerprint"))
-    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return done.where("edge IS NULL").select(out).unionByName(last.mapInArrow(_at_edges, _DONE_DDL).select(out))
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("n")]  # rows with one id are spread as well
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    done = cut(dealt.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_in_order, _DONE_DDL), "fingerprints")
+    heads = done.where("edge = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
+    numbers = done.where("edge = 0").select("part")  # one number a partition
+    after = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0))))
+    last = done.where("edge = 1").select("part", "doc_id", "text", "fingerprint").join(numbers.select("part", after.alias("next_part")), "part").join(heads, "next_part")
+    last = last.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(_at_edges, _DONE_DDL)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    out = cut(done.where("edge IS NULL").select(names).unionByName(last.select(names)), "edits")
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    near = near_counts(out.where(asks).select("fingerprint"), out.select("fingerprint"), radius)
+    asked = out.where(asks).join(near.hint("merge"), "fingerprint").select(*names, (F.col("n_near") - 1).alias("n_near"))
+    return asked.unionByName(out.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def _table_masks(radius: int, prefix: int) -> np.ndarray:
+    """(tables, 2) words with ones at the bits of each table's blocks."""
+    ends = [round(BITS * k / (radius + prefix)) for k in range(radius + prefix + 1)]
+    bits = np.zeros((radius + prefix, BITS), np.uint8)
+    for k in range(radius + prefix):
+        bits[k, ends[k] : ends[k + 1]] = 1
+    tables = np.array([bits[list(t)].max(axis=0) for t in combinations(range(radius + prefix), prefix)])
+    return np.packbits(tables, axis=1).view(np.uint64)
+
+
+_KEYED = pa.schema([("table", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def _into_tables(masks: np.ndarray):
+    """A row for each table: its key and the fingerprint's two words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.frombuffer(bytes.fromhex("".join(batch["fingerprint"].to_pylist())), np.uint64).reshape(-1, 2)
+            for table, mask in enumerate(masks):
+                held = marks & mask
+                key = _text.mix(_text.mix(held[:, 0]) + held[:, 1])
+                columns = [np.full(len(marks), table, np.int32), key.view(np.int64), marks[:, 0].view(np.int64), marks[:, 1].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch["n"]], schema=_KEYED)
+
+    return run
+
+
+def _count_near(radius: int, masks: np.ndarray):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_near", pa.int64())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        table = asked["table"][0].as_py()
+        words = lambda t: np.stack([t[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
+        one, two, times = words(asked), words(held), held["n"].to_numpy()
+        counts = np.zeros(len(one), np.int64)
+        step = max(1, (1 << 21) // len(two))
+        for at in range(0, len(one), step):
+            off = one[at : at + step, None] ^ two[None]
+            near = np.bitwise_count(off).sum(axis=2) <= radius
+            near &= ~(off & masks[table]).any(axis=2)
+            for before in masks[:table]:  # an earlier table has counted it
+                near &= (off & before).any(axis=2)
+            counts[at : at + step] = near @ times
+        some = np.flatnonzero(counts)
+        return pa.table([asked["a"].take(pa.array(some)), asked["b"].take(pa.array(some)), pa.array(counts[some])], schema=schema)
+
+    return run
+
+
+def near_counts(queries: DataFrame, all_rows: DataFrame, radius: int = 3, prefix: int = 1) -> DataFrame:
+    """(fingerprint, n_near): for each distinct query fingerprint the rows of ``all_rows`` within ``radius`` bits, equal ones included.
+
+    Both tables have a column fingerprint of 32 hexadecimal digits; nulls are
+    ignored. Repeats of a fingerprint are counted before they are dealt to tables,
+    and the fingerprints of one key meet its queries in blocks, so that neither
+    copies nor a crowded key land in one task. Queries without a row within the
+    radius have no row.
+    """
+    masks = _table_masks(radius, prefix)
+    ddl = "table int, key long, a long, b long, n long"
+    tally = lambda df: df.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    asked = cut(tally(queries).mapInArrow(_into_tables(masks), ddl).drop("n"), "asked")
+    wanted = asked.select("table", "key").distinct()
+    held = cut(tally(all_rows).mapInArrow(_into_tables(masks), ddl).join(wanted.hint("merge"), ["table", "key"], "left_semi"), "held")
+    blocks = held.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / KEY_BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(blocks.hint("merge"), ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("a", "b"), "blocks").cast("int")).drop("blocks")
+    copies = asked.join(blocks.hint("merge"), ["table", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["table", "key", "block"]
+    counted = copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_count_near(radius, masks), "a long, b long, n_near long")
+    word = lambda c: F.concat(*[F.substring(F.lower(F.lpad(F.hex(c), 16, "0")), 15 - 2 * k, 2) for k in range(8)])
+    return counted.groupBy("a", "b").agg(F.sum("n_near").alias("n_near")).select(F.concat(word("a"), word("b")).alias("fingerprint"), "n_near")
 
 
 def _tables(radius: int) -> list[tuple[int, ...]]:
