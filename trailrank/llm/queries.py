@@ -37,6 +37,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op6_urls`` that SQL can express."""
+    return urlfilter.match_rules(_read(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_simhash, op3_licenses, op4_packing, op5_linededup, op6_urls, op7_toxicity, op8_topk, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_simhash, op3_licenses, op4_packing, op5_linededup, op6_urls, op7_toxicity, op8_topk, op9_quality, op10_mixing, url_rules)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -78,6 +83,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.key) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id""",
+    "url_rules": r"""
+        WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r(own, begins, rule, verdict) AS (VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'allow'),
+                   ('example.net', '/de/8', 'example.net/de/8', 'block'), ('org', '/es/', 'org/es/', 'block')),
+        m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+              FROM p JOIN r ON (host = own OR suffix(host, '.' || own)) AND prefix(path, begins) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN m USING (page_id)""",
     "op8_topk": """
         WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL

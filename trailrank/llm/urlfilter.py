@@ -1,19 +1,20 @@
 """URL verdicts: allow and block rules, else host word segmentation and naive Bayes.
 
-Hosts and paths are split at everything but letters and digits; longer runs of
+Hosts and paths are split at everything but letters and digits; a host's runs of
 letters are split into words by Viterbi over a unigram model, whose counts are
 those of the delimited words in all urls plus a seed lexicon. Urls whose words hold a
 block seed, or no seed at all, teach a multinomial naive Bayes model over the
 segmented tokens; it scores every url that no rule decides.
+
+Counts, totals and odds are tables over all tokens, met by equi-joins, and each
+distinct run is segmented once with the counts of its own substrings. Nothing is
+broadcast or capped, so it works alike at every size.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,13 +27,11 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 #: Words that mark a url as unwanted; they seed the training labels.
 BLOCK_SEEDS = ("spam", "casino", "pills", "bets", "betting", "adult", "porn", "xxx", "sex", "viagra", "ads", "track", "tracker", "malware", "phishing", "poker", "gambling", "loan", "replica", "warez", "torrent", "escort")
-#: Words that the unigram model knows from the start, with this count each.
+#: Words that the unigram model knows from the start, each with this share of all counted words.
 LEXICON = (*BLOCK_SEEDS, "farm", "win", "cheap", "free", "online", "shop", "store", "news", "blog", "mail", "home", "world", "tech", "data", "web", "site", "page", "book", "game", "games", "play", "best", "buy", "sale", "deal", "deals", "bank", "health", "travel", "music", "video", "photo", "food", "school", "science", "city", "market", "media", "cloud", "code", "wiki", "forum")
-LEXICON_COUNT = 50
-#: The models keep this many tokens, the most frequent; the rest count as unknown.
-MAX_TOKENS = 50_000
+LEXICON_SHARE = 5e-4
 MAX_WORD = 24
-_PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
+_PARTS = r"([a-z]+|[0-9]+|[^\x00-\x7f]+)"
 
 
 def lower_ascii(column: Column) -> Column:
@@ -57,136 +56,127 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def raw_tokens(part: str) -> list[str]:
-    """Runs of letters or digits; numbers become ``#`` and their length."""
-    return [f"#{len(x)}" if x[0].isdigit() else x for x in _PARTS.findall(part.lower())]
+def raw_tokens(part: Column) -> Column:
+    """Runs of letters or of digits or of other letters than ASCII; numbers become ``#`` and their length."""
+    runs = F.regexp_extract_all(F.lower(part), F.lit(_PARTS), F.lit(1))
+    return F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("#"), F.length(x))).otherwise(x))
 
 
-def delimited(host: str) -> list[str]:
+def delimited(host: Column) -> Column:
     """Tokens of a host that are words by themselves: parts of hyphenated labels, and labels of up to four characters."""
-    return [t for label in host.split(".") if "-" in label or len(label) <= 4 for t in raw_tokens(label)]
-
-
-class Segmenter:
-    """The likeliest split of a run of letters under a unigram model."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = -math.log(1 / total) + 2
-        self.split = lru_cache(maxsize=100_000)(self._split)
-
-    def _word(self, word: str) -> float:
-        return self.cost.get(word, self.unknown + 2.5 * len(word))
-
-    def _split(self, run: str) -> tuple[str, ...]:
-        if len(run) > 4096 or not run.isascii():
-            return (run,)
-        best, back = [0.0], [0]
-        for end in range(1, len(run) + 1):
-            cost, start = min((best[s] + self._word(run[s:end]), s) for s in range(max(0, end - MAX_WORD), end))
-            best.append(cost)
-            back.append(start)
-        out, end = [], len(run)
-        while end:
-            out.append(run[back[end] : end])
-            end = back[end]
-        return tuple(reversed(out))
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented tokens: ``h:`` words of the host, ``p:`` words of the path."""
-        out = []
-        for mark, part in (("h:", host), ("p:", path)):
-            for run in raw_tokens(part):
-                out += [mark + w for w in ((run,) if run[0] == "#" else self.split(run))]
-        return out
-
-
-class NaiveBayes:
-    """Multinomial, add-one smoothed; score is the log odds of block."""
-
-    def __init__(self, counts: list[tuple[str, int, int]], documents: tuple[int, int]):
-        block, allow = sum(c[1] for c in counts), sum(c[2] for c in counts)
-        size = len(counts) + 1
-        self.prior = math.log((documents[0] + 1) / (documents[1] + 1))
-        self.unknown = math.log((allow + size) / (block + size))
-        self.odds = {w: math.log((b + 1) / (block + size)) - math.log((a + 1) / (allow + size)) for w, b, a in counts}
-
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, self.unknown) for t in tokens)
-
-
-def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = Counter(t for host in batch["host"].to_pylist() for t in delimited(host) if t[0] != "#")
-        found.update(t for path in batch["path"].to_pylist() for t in raw_tokens(path) if t[0] != "#")
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
+    plain = F.filter(F.split(host, r"\."), lambda x: x.contains("-") | (F.length(x) <= 4))
+    return raw_tokens(F.array_join(plain, "."))
 
 
-def unigrams(parts: DataFrame) -> dict[str, int]:
-    """Counts of the ``MAX_TOKENS`` most frequent delimited words of all (host, path), and the lexicon's.
+def unigrams(hosts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(word, n): delimited words of all (host, n) and (path, n), and the lexicon's.
 
     Host labels without a hyphen are what is to be segmented, so they are not counted as words.
     """
-    counted = parts.mapInArrow(_raw, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.col("n").desc(), "token").limit(MAX_TOKENS).collect()
-    counts = Counter({r["token"]: r["n"] for r in rows})
-    counts.update(dict.fromkeys(LEXICON, LEXICON_COUNT))
-    return dict(counts)
-
+    said = hosts.select(F.explode(delimited(F.col("host"))).alias("word"), "n").unionByName(paths.select(F.explode(raw_tokens(F.col("path"))).alias("word"), "n"))
+    counted = said.where("word NOT LIKE '#%'").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    known = total.select(F.explode(F.array(*[F.lit(w) for w in LEXICON])).alias("word"), F.greatest(F.lit(1), F.floor(F.coalesce("total", F.lit(0)) * LEXICON_SHARE)).cast("long").alias("n"))
+    return counted.unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest split of a run of letters; unknown words cost more with each letter."""
+    unknown = math.log(total + 1) + 2
+    best, back = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        words = ((s, run[s:end]) for s in range(max(0, end - MAX_WORD), end))
+        cost, start = min((best[s] + (math.log((total + 1) / counts[w]) if w in counts else unknown + 2.5 * len(w)), s) for s, w in words)
+        best.append(cost)
+        back.append(start)
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch["run"].to_pylist(), batch["known"].to_pylist(), batch["total"].to_pylist(), strict=True)
+        split = [segment(run, {k["word"]: k["n"] for k in known or []}, total) for run, known, total in rows]
+        yield pa.RecordBatch.from_arrays([batch["run"], pa.array(split, pa.list_(pa.string()))], ["run", "words"])
 
-def _taught(counts_sent, seeds: frozenset[str]):
-    schema = pa.schema([("token", pa.string()), ("block", pa.int64()), ("allow", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts_sent.value)
-        for batch in batches:
-            block, allow = Counter(), Counter()
-            for host, path, n in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                tokens = segmenter.tokens(host, path)
-                bad = any(t[2:] in seeds for t in tokens)
-                for t in tokens:
-                    (block if bad else allow)[t] += n
-                (block if bad else allow)[""] += n
-            names = sorted({*block, *allow})
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((names, [block[x] for x in names], [allow[x] for x in names]), schema, strict=True)], schema=schema)
+def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, words) for distinct runs of letters, under the unigram counts (word, n)."""
+    length = F.length("run")
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), length)).alias("s"))
+    parts = starts.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), length - F.col("s") + 1)), lambda n: F.substring(F.col("run"), F.col("s"), n))).alias("word")).distinct()
+    known = parts.join(words.hint("merge"), "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    total = F.broadcast(words.agg(F.sum("n").alias("total")))  # one row
+    return runs.join(known.hint("merge"), "run", "left").crossJoin(total).select("run", "known", "total").mapInArrow(_segment, "run string, words array<string>")
 
-    return run
 
+def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, token): ``h:`` and the words of each host, repeats included."""
+    runs = hosts.select("host", F.explode(raw_tokens(F.col("host"))).alias("run"))
+    letters = runs.where("run RLIKE '^[a-z]'")
+    split = segmented(letters.select("run").distinct(), words)
+    found = letters.join(split.hint("merge"), "run").select("host", F.explode("words").alias("word"))
+    found = found.unionByName(runs.where("NOT run RLIKE '^[a-z]'").withColumnRenamed("run", "word"))
+    return found.select("host", F.concat(F.lit("h:"), "word").alias("token"))
 
-def train(parts: DataFrame, counts_sent) -> NaiveBayes:
-    """Token counts over all urls, labelled by the seeds; the most frequent ``MAX_TOKENS`` tokens are kept."""
-    tally = parts.withColumn("n", F.lit(1).cast("long")).mapInArrow(_taught(counts_sent, frozenset(BLOCK_SEEDS)), "token string, block long, allow long")
-    tally = cut(tally.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-tokens")
-    documents = tally.where("token = ''").first()
-    rows = tally.where("token <> ''").orderBy((F.col("block") + F.col("allow")).desc(), "token").limit(MAX_TOKENS).collect()
-    return NaiveBayes([tuple(r) for r in rows], (documents["block"], documents["allow"]) if documents else (0, 0))
 
+def path_tokens(path: Column) -> Column:
+    return F.transform(raw_tokens(path), lambda w: F.concat(F.lit("p:"), w))
 
-def _judge(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bayes = sent.value
-        segmenter = Segmenter(counts)
-        for batch in batches:
-            scores = [bayes.score(segmenter.tokens(h, p)) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return run
+def token_odds(tally: DataFrame) -> DataFrame:
+    """(token, odds, unknown) from (token, block, allow): log odds with add-one smoothing, also those of a token never seen."""
+    totals = F.broadcast(tally.agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), (F.count(F.lit(1)) + 1).alias("size")))  # one row
+    odds = F.log((F.col("block") + 1) / (F.col("b") + F.col("size"))) - F.log((F.col("allow") + 1) / (F.col("a") + F.col("size")))
+    return tally.crossJoin(totals).select("token", odds.alias("odds"), F.log((F.col("a") + F.col("size")) / (F.col("b") + F.col("size"))).alias("unknown"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for every row.
+def judge(pages: DataFrame, rules=RULES, teaches: Column | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score, seeded) for every row.
 
     Without a rule the verdict is block where the score, naive Bayes' log odds,
-    is positive. A null url, or one without ``://``, has an empty host and path
-    and is judged like others (by the prior: allow, unless most urls are
-    blocked). Repeated rows and null ids give rows; extra columns are ignored.
+    is positive. ``seeded`` is whether a word of the url is a block seed, which is
+    what the model learns from; ``teaches``, a condition on host and path, limits
+    the rows that it learns from (all, if None). A null url, or one without
+    ``://``, has an empty host and path and is judged like others (by the prior:
+    allow, unless most urls are blocked). Repeated rows and null ids give rows;
+    extra columns are ignored; an empty table gives no rows.
     """
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    context = pages.sparkSession.sparkContext
-    counts = unigrams(parts.select("host", "path"))
-    bayes = train(parts.select("host", "path"), context.broadcast(counts))
-    scored = parts.mapInArrow(_judge(context.broadcast((counts, bayes))), "page_id long, host string, path string, score double")
+    parts = cut(parts.withColumn("row", F.monotonically_increasing_id()), "urls")
+    hosts = cut(parts.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    paths = parts.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    of_host = cut(host_tokens(hosts, cut(unigrams(hosts, paths), "unigrams")), "host-tokens")
+
+    seeds = F.substring("token", 3, 1 << 20).isin(*BLOCK_SEEDS)
+    bad_hosts = of_host.groupBy("host").agg(F.max(seeds).alias("bad"))
+    bad_path = F.exists(path_tokens(F.col("path")), lambda t: F.substring(t, 3, 1 << 20).isin(*BLOCK_SEEDS))
+    marked = parts.join(bad_hosts.hint("merge"), "host", "left").withColumn("seeded", F.coalesce("bad", F.lit(False)) | bad_path).drop("bad")
+    marked = cut(marked.withColumn("teaches", F.lit(True) if teaches is None else F.coalesce(teaches, F.lit(False))), "marked-urls")
+    taught = marked.where("teaches")
+    block, allow = F.sum(F.col("seeded").cast("long")).alias("block"), F.sum((~F.col("seeded")).cast("long")).alias("allow")
+    by_host = of_host.join(taught.groupBy("host").agg(block, allow).hint("merge"), "host").select("token", "block", "allow")
+    by_path = taught.select(F.explode(path_tokens(F.col("path"))).alias("token"), F.col("seeded").cast("long").alias("block"), (~F.col("seeded")).cast("long").alias("allow"))
+    tally = by_host.unionByName(by_path).groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    odds = cut(token_odds(tally), "token-odds")
+    never = F.broadcast(odds.agg(F.coalesce(F.max("unknown"), F.lit(0.0)).alias("never")))  # one row
+    prior = F.broadcast(taught.agg(F.log((F.coalesce(F.sum(F.col("seeded").cast("long")), F.lit(0)) + 1) / (F.coalesce(F.sum((~F.col("seeded")).cast("long")), F.lit(0)) + 1)).alias("prior")))
+
+    met = lambda df: df.join(odds.select("token", "odds").hint("merge"), "token", "left").crossJoin(never).withColumn("odds", F.coalesce("odds", "never"))
+    host_score = met(of_host).groupBy("host").agg(F.sum("odds").alias("host_score"))
+    path_score = met(marked.select("row", F.explode(path_tokens(F.col("path"))).alias("token"))).groupBy("row").agg(F.sum("odds").alias("path_score"))
+    scored = marked.join(host_score.hint("merge"), "host", "left").join(path_score.hint("merge"), "row", "left").crossJoin(prior)
+    score = F.round(F.col("prior") + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)), 9).alias("score")
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    scored = scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), score, "seeded")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score", "seeded")
+
+
+def match_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) by the rules alone; rule and verdict are null where none fits."""
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
