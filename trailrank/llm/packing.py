@@ -32,17 +32,36 @@ CAPACITY = 1024
 CACHE = 400_000
 #: Full bins that may wait for tails, and tails that may wait for bins.
 WAITING, TAILS = 256, 64
-_CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space whose tokens depend on more than the next word.
+_RUNS = re.compile(r"  | \n|\n\n[ \n]|\n\n\Z|[^\S \n]")
+
+
+class _Cache(dict):
+    """Ids of chunks as bytes; ``before`` is put before those that begin with a word."""
+
+    def __init__(self, ids, before: str):
+        super().__init__()
+        self.ids, self.before = ids, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.ids(chunk if chunk[:1] == "\n" else self.before + chunk)
+        if len(chunk) <= 40:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
     """ids of a byte-level BPE vocabulary as little-endian uint32 bytes.
 
     Equal to ``Tokenizer.encode(text, add_special_tokens=False)``: words end where
-    white space begins, so chunks of white space and a word are encoded on their
-    own and remembered. Texts with other white space than blanks and newlines, or
-    with a special token's own string, are encoded whole.
+    white space begins, so a word with the blank or newline before it is encoded
+    on its own and remembered. Where blanks or newlines come in longer runs, a word
+    is remembered with its whole run. Texts with other white space, or with a
+    special token's own string, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -50,25 +69,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.words, self.chunks = _Cache(self._ids, " "), _Cache(self._ids, "")
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text) or any(x in text for x in self.special):
+        if any(x in text for x in self.special):
+            return self._ids(text)
+        odd = _RUNS.search(text)
+        if odd is None:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.chunks[first] + b"".join(map(self.words.__getitem__, rest))
+        if _OTHER_SPACE.search(text):
             return self._ids(text)
-        seen, out = self.seen, []
-        for chunk in _CHUNKS.findall(text):
-            ids = seen.get(chunk)
-            if ids is None:
-                ids = self._ids(chunk)
-                if len(chunk) <= 40:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
