@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -283,6 +284,17 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ids_are_the_tokenizers_own():
+    import pyarrow.parquet as pq
+
+    encode = packing.encoder("byte_bpe_50k")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    rng = random.Random(2)
+    texts += ["".join(rng.choice([" ", " ", "\n", "a", "B7", "it's", "é", ",", "\t", "　"][: 4 + k % 7]) for _ in range(30)) for k in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text[:200]
+
+
 def test_packing_classes_keep_documents_whole():
     rng = random.Random(3)
     lengths = [int(min(20_000, 20 + 300 * rng.paretovariate(1.0))) for _ in range(6000)]
@@ -409,12 +421,52 @@ def test_urls(spark):
     assert said[8][:3] == ("", "", None) and said[9][:3] == ("", "", None) and said[10][:3] == ("", "", None)
     assert said[11][:3] == ("b.org", "/fr/9://x.com/en/", None) and said[12][2:] == ("com/en/", "block")
     assert urlfilter.judge(rows.limit(0)).count() == 0
+    odd = rows.select(F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("page_id"), "url", *[F.lit(1).alias(c) for c in ("path", "score", "row", "token", "n")])
+    again = urlfilter.judge(odd.unionAll(odd)).collect()
+    assert len(again) == 2 * rows.count() and sum(r["page_id"] is None for r in again) == 2 * (rows.count() // 2)
 
 
-def test_segmentation():
-    cut = urlfilter.Segmenter({w: 50 for w in urlfilter.LEXICON})
-    assert cut.split("cheappills") == ("cheap", "pills") and cut.split("freecasinowin") == ("free", "casino", "win")
-    assert cut.split("zzqy") == ("zzqy",) and cut.tokens("ads-track.com", "/en/12")[:2] == ["h:ads", "h:track"]
+def test_verdicts_match_naive_bayes_by_force(spark):
+    """Tokens by the operator, counts, odds and sums in plain Python."""
+    rng = random.Random(3)
+    hosts = [f"{a}{rng.choice(['-', ''])}{b}.example.com" for a in ("cheap", "casino", "calm", "blue", "win") for b in ("pills", "river", "shop", "farm") for _ in range(2)]
+    hosts += ["lucky-casino.com", "lucky-bets.com", "lucky-poker.org", "lucky-day.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'en', 'casino'])}/{rng.randrange(2000)}" for _ in range(300)] + ["http://lucky-day.org/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(rows, rules=()).collect()}
+    parts = rows.select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    counts = lambda c: parts.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    of_host = {}
+    for r in urlfilter.host_tokens(counts("host"), urlfilter.unigrams(counts("host"), counts("path"))).collect():
+        of_host.setdefault(r["host"], []).append(r["token"])
+    tokens = {r["page_id"]: of_host.get(r["host"], []) + r["t"] for r in parts.withColumn("t", urlfilter.path_tokens(F.col("path"))).collect()}
+    bad = {k: any(t[2:] in urlfilter.BLOCK_SEEDS for t in x) for k, x in tokens.items()}
+    seen = {side: Counter(t for k, x in tokens.items() if bad[k] == side for t in x) for side in (True, False)}
+    size = len({*seen[True], *seen[False]}) + 1
+    prior = np.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
+    odds = lambda t: np.log((seen[True][t] + 1) / (seen[True].total() + size)) - np.log((seen[False][t] + 1) / (seen[False].total() + size))
+    for k, x in tokens.items():
+        assert got[k]["score"] == pytest.approx(prior + sum(map(odds, x)), abs=1e-6) and got[k]["seeded"] == bad[k]
+        assert got[k]["verdict"] == ("block" if got[k]["score"] > 0 else "allow")
+    assert odds("h:lucky") > 0 and not got[300]["seeded"]  # a word that is no seed tells, as it comes with seeds
+
+
+def test_segmentation_is_the_best_of_all_splits(spark):
+    rng = random.Random(1)
+    counts = {w: rng.randrange(1, 90) for w in ("a", "an", "ana", "nab", "ab", "ba", "cheap", "pills", "free", "win", "ree", "casino", "casinowin", "chea")}
+    total = sum(counts.values())
+    cost = lambda w: math.log((total + 1) / counts[w]) if w in counts else math.log(total + 1) + 2 + 2.5 * len(w)
+    for run in ["anabana", "cheappills", "freecasinowin", "zzqy", "a", "bananab", "xfreeab"]:
+        splits = []
+        for marks in range(1 << (len(run) - 1)):
+            ends = [k + 1 for k in range(len(run) - 1) if marks >> k & 1]
+            splits.append([run[a:b] for a, b in zip([0, *ends], [*ends, len(run)], strict=True)])
+        said = urlfilter.segment(run, counts, total)
+        assert "".join(said) == run and sum(map(cost, said)) == pytest.approx(min(sum(map(cost, x)) for x in splits))
+    runs = ["cheappills", "freecasinowin", "zzqy", "x" * 6000]
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = dict(map(tuple, urlfilter.segmented(spark.createDataFrame([(r,) for r in runs], "run string"), table).collect()))
+    assert got == {r: urlfilter.segment(r, counts, total) for r in runs}
 
 
 def test_toxicity(spark):
@@ -471,7 +523,7 @@ def test_postings_stop_on_proof_only(kind):
         matrix = (rng.pareto(1.2, matrix.shape) * 20).astype(np.int64).clip(max=20_000)
     elif kind == "constant":
         matrix[:] = 7
-    postings = topk.Postings(matrix)
+    postings = topk.Postings(matrix, topk.sum_type(matrix, 250))
     for q in range(0, 3000, 100):
         query = np.where(rng.random(24) < 0.2, 0, rng.normal(0, 50, 24)).astype(np.int64)
         rows, scores = postings.search(query, q, 5)

@@ -34,7 +34,7 @@ CELLS = 1 << 19
 #: A query ends when no more rows than this may still be members.
 FEW = 64
 #: Shares of all postings after which bounds are looked at.
-LOOKS = (0.3, 0.55, 0.75, 0.9)
+LOOKS = (0.4, 0.75)
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -64,75 +64,69 @@ def _unpack(row: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Postings:
-    """The posting segments of one block of integer vectors."""
+    """The posting segments of one block of integer vectors; ``exact`` is the float type that holds all sums."""
 
-    def __init__(self, matrix: np.ndarray):
-        self.matrix = matrix
+    def __init__(self, matrix: np.ndarray, exact: type = np.float64):
+        self.matrix, self.exact = matrix, exact
         n, dims = matrix.shape
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
         width = -(-(self.high - self.low + 1) // LEVELS)
         self.level = ((matrix - self.low) // width).astype(np.int8)
         order = np.argsort(matrix, axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T).ravel()
-        self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, 0).T).ravel()
+        self.rows = np.ascontiguousarray(order.T)
+        self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, 0).T)
+        self.impacts = ((self.values - self.low[:, None]).astype(exact), (self.high[:, None] - self.values).astype(exact))
         levels = np.take_along_axis(self.level, order, 0).T
-        starts = np.array([np.searchsorted(x, np.arange(LEVELS + 1)) for x in levels])
-        dim, level = np.nonzero(np.diff(starts, axis=1) > 0)
-        self.dim, self.of_level = dim, level
-        self.first, self.last = starts[dim, level] + dim * n, starts[dim, level + 1] + dim * n
+        self.starts = np.array([np.searchsorted(x, np.arange(LEVELS + 1)) for x in levels])
+        self.dim, self.of_level = np.nonzero(np.diff(self.starts, axis=1) > 0)
+        first, last = self.starts[self.dim, self.of_level], self.starts[self.dim, self.of_level + 1]
+        self.sizes = last - first
+        self.top, self.bottom = self.impacts[0][self.dim, last - 1], self.impacts[1][self.dim, first]
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, score) of the possible members of the k best, row ``own`` left out (-1: none)."""
         matrix, n = self.matrix, len(self.matrix)
-        others = n - (own >= 0)
-        if others <= max(FEW, k):
+        if n - (own >= 0) <= max(FEW, k):
             rows = np.flatnonzero(np.arange(n) != own)
             return rows, matrix[rows] @ query
-        weight, up = np.abs(query), query > 0
-        dim_up = up[self.dim]
-        best = np.where(dim_up, self.values[self.last - 1] - self.low[self.dim], self.high[self.dim] - self.values[self.first]) * weight[self.dim]
-        order = np.argsort(-best, kind="stable")
-        order = order[best[order] > 0]
-        sizes = np.cumsum((self.last - self.first)[order])
-        ends = np.searchsorted(sizes, np.array([*LOOKS, 1.0]) * (sizes[-1] if len(sizes) else 0))
-        gathered, done = np.zeros(n), 0
-        for step, end in enumerate(ends):
-            part = order[done : min(end + 1, len(order))]
+        weight, up = np.abs(query).astype(self.exact), query > 0
+        base = int(np.where(up, self.low, self.high) @ query)
+        best = np.where(up[self.dim], self.top, self.bottom) * weight[self.dim]
+        order = np.argsort(-best, kind="stable")[: int((best > 0).sum())]
+        sizes = np.cumsum(self.sizes[order])
+        total = sizes[-1] if len(sizes) else 0
+        # In each dimension the segments taken so far are one span, from the top or from the bottom.
+        reached = np.where(up, LEVELS, -1)
+        gathered, done = np.zeros(n, self.exact), 0
+        for look in (*LOOKS, 1.0):
+            part = order[done : np.searchsorted(sizes, look * total) + 1]
             done += len(part)
-            if len(part):
-                spans = [slice(a, b) for a, b in zip(self.first[part], self.last[part], strict=True)]
-                dims = np.repeat(self.dim[part], (self.last - self.first)[part])
-                values = np.concatenate([self.values[x] for x in spans])
-                impacts = np.where(up[dims], values - self.low[dims], self.high[dims] - values) * weight[dims]
-                gathered += np.bincount(np.concatenate([self.rows[x] for x in spans]), impacts, n)
-            if step == len(ends) - 1:
+            before = reached.copy()
+            dims, levels = self.dim[part], self.of_level[part]
+            np.minimum.at(reached, dims[up[dims]], levels[up[dims]])
+            np.maximum.at(reached, dims[~up[dims]], levels[~up[dims]])
+            for d in np.flatnonzero(reached != before):
+                a, b = (self.starts[d, reached[d]], self.starts[d, before[d]]) if up[d] else (self.starts[d, before[d] + 1], self.starts[d, reached[d] + 1])
+                gathered[self.rows[d, a:b]] += self.impacts[0 if up[d] else 1][d, a:b] * weight[d]
+            if done == len(order):
                 bound = gathered.copy()
             else:  # what each dimension may still add to the rows that it has not reached
-                left = order[done:]
-                ahead = np.zeros(len(query))
-                np.maximum.at(ahead, self.dim[left], best[left])
-                passed = order[:done]
-                reached = np.where(up, LEVELS, -1)
-                np.minimum.at(reached, self.dim[passed[dim_up[passed]]], self.of_level[passed[dim_up[passed]]])
-                np.maximum.at(reached, self.dim[passed[~dim_up[passed]]], self.of_level[passed[~dim_up[passed]]])
-                unseen = np.where(up, self.level < reached, self.level > reached)
-                bound = gathered + unseen @ ahead
+                ahead = np.zeros(len(query), self.exact)
+                np.maximum.at(ahead, self.dim[order[done:]], best[order[done:]])
+                unseen = np.where(up, self.level < reached.astype(np.int8), self.level > reached.astype(np.int8))
+                bound = gathered + unseen.astype(self.exact) @ ahead
             if own >= 0:
                 bound[own] = -1
-            likely = np.argpartition(-bound, k - 1)[:k] if step == len(ends) - 1 else np.argpartition(-np.where(bound < 0, -1, gathered), k - 1)[:k]
-            base = np.where(up, self.low, self.high) @ query
-            least = (matrix[likely] @ query - base).min()
+                gathered[own] = -1
+            likely = np.argpartition(gathered, n - k)[n - k :]
+            least = int((matrix[likely] @ query).min()) - base
             rows = np.flatnonzero(bound >= least)
-            if len(rows) <= max(FEW, 4 * k) or step == len(ends) - 1:
-                break
-        return rows, matrix[rows] @ query
+            if done == len(order) or len(rows) <= max(FEW, 4 * k):
+                return rows, matrix[rows] @ query
 
 
 def search_block(postings: Postings, numbers: np.ndarray, ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query row, vec_id, score): the k best of a block for each query, ties to the smaller id, the query's own row left out."""
-    reach = int(np.abs(postings.matrix).max(initial=1)) * int(np.abs(queries).max(initial=1)) * 2 * postings.matrix.shape[1]
-    if reach >= 2**52:
-        raise ValueError("components are too large for exact sums")
     found = []
     at = np.searchsorted(numbers, query_rows)  # numbers ascend
     own = np.where((at < len(numbers)) & (numbers[at.clip(max=len(numbers) - 1)] == query_rows), at, -1)
@@ -143,6 +137,14 @@ def search_block(postings: Postings, numbers: np.ndarray, ids: np.ndarray, query
     return found
 
 
+def sum_type(matrix: np.ndarray, largest: int) -> type:
+    """A float type in which sums of products of a matrix' impacts with weights up to ``largest`` are exact."""
+    reach = 2 * int(np.abs(matrix).max(initial=1)) * max(1, largest) * matrix.shape[1]
+    if reach >= 2**52:
+        raise ValueError("components are too large for exact sums")
+    return np.float32 if reach < 2**23 else np.float64
+
+
 def _search(k: int):
     schema = pa.schema([("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -151,9 +153,10 @@ def _search(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 numbers, ids, matrix = _unpack(row)
-                if block != (row["dim"], row["block"]):  # a block's rows follow each other
-                    block, postings = (row["dim"], row["block"]), Postings(matrix)
                 query_rows, _, queries = _unpack(row, "query_")
+                exact = sum_type(matrix, int(np.abs(queries).max()))
+                if block != (row["dim"], row["block"], exact):  # a block's rows follow each other
+                    block, postings = (row["dim"], row["block"], exact), Postings(matrix, exact)
                 found = search_block(postings, numbers, ids, query_rows, queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 3)], schema=schema)
 
