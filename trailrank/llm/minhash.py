@@ -277,12 +277,14 @@ def _ball_blocks(ball: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-4, near: float = 0.5, with_hash: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept[, text_hash]) for every row of ``documents``.
+    """(doc_id, n_shingles, component_id, kept[, text_hash, first]) for every row of ``documents``.
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| on their sets of
     distinct ``width``-word shingles. ``miss`` is the chance at which a pair is
     pruned unseen, ``near`` the distance from a pivot within which a group is
-    finished exactly. ``with_hash`` adds Spark's xxhash64 of the text.
+    finished exactly. ``with_hash`` adds Spark's xxhash64 of the text, and whether the
+    row's id and text are the first of its group: so one text of each group, also
+    where rows with equal ids have unlike texts.
 
     A text of fewer words is one shingle; null, empty and blank texts have none
     and are linked with nothing. Rows with equal ids or texts each give a row. A
@@ -342,11 +344,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85, mis
     found.append(verified(pairs).where(linked).select("u", "v"))
 
     labels = components(reduce(DataFrame.unionByName, found))
-    named = cut(classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "named")
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = cut(named.join(first, "label").select("node", "component_id"), "component")
+    named = classes.select("node", "doc_id", "text_hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = cut(named.select("node", "doc_id", "text_hash", "label"), "named")
+    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    component = cut(named.join(first, "label").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash")), "component")
     drop(*spent, rest, pairs, sets, named, classes, *found[1:-1:2])
     out = signed.select("doc_id", "n_shingles", "node", "text_hash").join(component, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    out = out.select("doc_id", "n_shingles", component_id, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", "kept", *["text_hash"] * with_hash)
+    out = out.select("doc_id", "n_shingles", component_id, "text_hash", "first_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = F.col("kept") & (F.coalesce("first_hash", "text_hash") == F.col("text_hash"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *["text_hash", first.alias("first")][: 2 * with_hash])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailrank.llm._store import cut
+from trailrank.llm._store import cut, fresh
 
 WEIGHTS = (5, 2, 1)
 TOLERANCE, MAX_STEPS = 1e-9, 60
@@ -137,22 +137,24 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``documents`` as often as ``mixed`` takes them, texts unchanged.
+    """The rows of ``documents`` as often as ``mixed`` takes them, texts and other columns unchanged.
 
     Rows are matched by id, source and text, and nulls match nulls. Rows equal in
-    all three share their copies as evenly as whole copies allow.
+    all three share their copies as evenly as whole copies allow. Columns may have
+    any names. Null and empty texts are taken no times; an empty table gives no rows.
     """
-    name = documents.columns
-    decided = cut(mixed.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "decided")
-    uneven = decided.where("_copies % _rows <> 0").limit(1).count()
-    keys = {"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_hash": F.xxhash64("text")}
-    keyed = documents.withColumns(keys)
-    decided = decided.hint("merge")
-    same = keyed["_id"].eqNullSafe(decided["doc_id"]) & keyed["_source"].eqNullSafe(decided["source"]) & (keyed["_hash"] == decided["text_hash"])
-    both = keyed.join(decided, same).drop(decided["doc_id"], decided["source"]).where("_copies > 0")
-    times = F.floor(F.col("_copies") / F.col("_rows"))
+    names = documents.columns
+    doc_id, source, mark, copies, rows, place, times, copy = fresh(names, "id_key", "source_key", "text_key", "copies", "rows", "place", "times", "copy")
+    keys = [doc_id, source, mark]
+    decided = mixed.groupBy(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("text_hash").alias(mark))
+    decided = cut(decided.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(f"{copies} > 0"), "decided")
+    uneven = decided.where(f"{copies} % {rows} <> 0").limit(1).count()
+    keyed = documents.withColumns({doc_id: F.col("doc_id").cast("long"), source: F.col("source").cast("string"), mark: F.xxhash64("text")})
+    held = decided.hint("merge")  # at every size alike: both sides grow with the documents
+    both = keyed.join(held, keyed[doc_id].eqNullSafe(held[doc_id]) & keyed[source].eqNullSafe(held[source]) & (keyed[mark] == held[mark])).drop(*[held[c] for c in keys])
+    often = F.floor(F.col(copies) / F.col(rows))
     if uneven:
-        both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*name))))
-        times = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_place") - 1) / F.col("_rows"))
-    both = both.withColumn("_times", times.cast("int")).where("_times > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*name)
+        both = both.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*names))))
+        often = F.floor(F.col(copies) * F.col(place) / F.col(rows)) - F.floor(F.col(copies) * (F.col(place) - 1) / F.col(rows))
+    both = both.withColumn(times, often.cast("int")).where(f"{times} > 0")
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

@@ -137,8 +137,8 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> ByteNet:
-    """Fit on at most ``rows`` labelled texts of at most ``TRAIN_BYTES`` bytes, the first by hash of id and text.
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> ByteNet:
+    """Fit on at most ``rows`` labelled texts of at most ``most_bytes`` bytes, the first by hash of id and text.
 
     Rows that ``held_out`` names, null ids and null labels are not used. Without
     any usable row the untrained network stays, which scores all texts about alike.
@@ -146,13 +146,13 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out())
     chosen = hash_share(marks, rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    sample = texts.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
+    sample = texts.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).toArrow()
     pairs = sorted(zip(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["y"].to_pylist(), strict=True))
     return ByteNet().fit([t.encode() for _, t, _ in pairs], np.array([y for *_, y in pairs], dtype=np.float32))
 
 
-def _score(sent, out: list[str]):
+def _score(sent, out: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = ByteNet()
         for name, value in zip(ByteNet.NAMES, sent.value, strict=True):
@@ -161,18 +161,18 @@ def _score(sent, out: list[str]):
             raw, offs = _text.text_buffers(batch["text"])
             scores = [net.scores(part, part_offs) for _, _, part, part_offs in _text.chunks(raw, offs)]
             scores = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in out), scores], [*out, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in out), scores], [*out, name])
 
     return run
 
 
-def score(documents: DataFrame, net: ByteNet, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all, if None) of every row and its score; a null text is scored as an empty one."""
-    keep = [c for c in documents.columns if c != "score"] if keep is None else keep
+def score(documents: DataFrame, net: ByteNet, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` (all, if None) of every row and its score as column ``name``, which replaces one of that name; a null text is scored as an empty one."""
+    keep = [c for c in documents.columns if c != name] if keep is None else keep
     rows = documents.select(*dict.fromkeys([*keep, "text"]))
     sent = documents.sparkSession.sparkContext.broadcast([getattr(net, k) for k in ByteNet.NAMES])
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return rows.mapInArrow(_score(sent, keep), schema)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
+    return rows.mapInArrow(_score(sent, keep, name), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
