@@ -7,7 +7,7 @@ sessions; nothing depends on the order of rows in a DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("session_id", "job_id", "action")
@@ -47,11 +47,13 @@ def by_session() -> Window:
     return Window.partitionBy("session_id").orderBy("pos")
 
 
-def normalize(interactions: DataFrame) -> DataFrame:
+def normalize(interactions: DataFrame | None) -> DataFrame:
     """Required columns only, rows with a null dropped, ids as strings, clean actions, positions closed up per session.
 
-    ``pos`` must order each session's rows; ``session_ord`` is kept if present.
+    ``pos`` must order each session's rows; ``session_ord`` is kept if present. None gives an empty table.
     """
+    if interactions is None:
+        return SparkSession.active().createDataFrame([], "session_id string, job_id string, action string, pos long")
     require(interactions, (*REQUIRED, "pos"))
     extra = ["session_ord"] if "session_ord" in interactions.columns else []
     rows = interactions.select(*REQUIRED, "pos", *extra).na.drop(subset=list(REQUIRED))
@@ -82,11 +84,13 @@ def last_k(interactions: DataFrame, k: int) -> DataFrame:
 
 
 def disjoint_sessions(train: DataFrame, test: DataFrame) -> DataFrame:
-    """``test`` with session ids that ``train`` cannot have: numbers move past train's largest, others get a prefix."""
-    top = train.agg(F.max(F.expr("try_cast(session_id AS BIGINT)")).alias("_top"))
+    """``test`` with session ids that ``train`` cannot have: moved past train's largest if all ids of both are numbers, else with a prefix."""
     number = F.expr("try_cast(session_id AS BIGINT)")
-    moved = F.when(number.isNotNull() & F.col("_top").isNotNull(), (number + F.col("_top") + 1).cast("string")).otherwise(F.concat(F.lit("test_"), F.col("session_id")))
-    return test.crossJoin(F.broadcast(top)).withColumn("session_id", moved).drop("_top")
+    odd = F.coalesce(F.max(number.isNull() & F.col("session_id").isNotNull()), F.lit(False))
+    top = train.agg(F.max(number).alias("_top"), odd.alias("_odd")).crossJoin(test.agg(odd.alias("_odd_too")))  # one row
+    numbers = F.col("_top").isNotNull() & ~F.col("_odd") & ~F.col("_odd_too")
+    moved = F.when(numbers, (number + F.col("_top") + 1).cast("string")).otherwise(F.concat(F.lit("test_"), F.col("session_id")))
+    return test.crossJoin(F.broadcast(top)).withColumn("session_id", moved).drop("_top", "_odd", "_odd_too")
 
 
 def union_logs(train: DataFrame, targets: DataFrame, test: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def fold_accents(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of two or more of a-z, 0-9 and _ in the lower-cased text, accents dropped."""
-    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+    """Runs of two or more letters and numbers of any script and _ in the lower-cased text, Latin accents dropped."""
+    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def ngrams(words: Column, upper: int = 2) -> Column:
@@ -83,9 +83,44 @@ def tfidf(listings: DataFrame, min_df: int = 2, max_df: float = 0.95, max_featur
     return raw.select("job_id", "term", (F.col("x") / norm).alias("w"))
 
 
-def neighbors(vectors: DataFrame, top_n: int = 50) -> DataFrame:
-    """(src, dst, sim, rank): the nearest other listings by cosine, those that share a term; ties to the smaller id."""
-    a, b = vectors.select(F.col("job_id").alias("src"), "term", F.col("w").alias("wa")), vectors.select(F.col("job_id").alias("dst"), "term", F.col("w").alias("wb"))
-    sims = a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
+#: Terms in more listings are common: pairs of listings that share only such terms are scored where they may rank.
+COMMON_DF = 1000
+
+
+def _pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    left, right = a.select(F.col("job_id").alias("src"), "term", F.col("w").alias("wa")), b.select(F.col("job_id").alias("dst"), "term", F.col("w").alias("wb"))
+    return left.join(right, "term").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias(name))
+
+
+def neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON_DF) -> DataFrame:
+    """(src, dst, sim, rank): the nearest other listings by cosine, those that share a term; ties to the smaller id.
+
+    Weights are not negative, so what common terms can add to a pair is at most the
+    product of the two listings' norms on them. Pairs that share a rarer term are
+    scored on those terms first; those that the common terms may lift into the
+    ``top_n`` are scored exactly. A listing whose last place stays within reach of
+    pairs without a rarer term, which is rare, meets all listings by all terms.
+    """
+    df = vectors.groupBy("term").agg((F.count(F.lit(1)) > common_df).alias("common"))
+    marked = vectors.join(df, "term")
+    rare, common = marked.where("NOT common"), marked.where("common")
+    parts = common.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    most = parts.agg(F.coalesce(F.max("norm"), F.lit(0.0)).alias("most"))
+    side = lambda c, m, n: parts.select(F.col("job_id").alias(c), F.col("m").alias(m), F.col("norm").alias(n))
+    near = _pairs(rare, rare, "part").join(side("src", "ma", "na").drop("ma"), "src", "left").join(side("dst", "mb", "nb").drop("mb"), "dst", "left").na.fill(0.0, ["na", "nb"])
+    at = F.row_number().over(Window.partitionBy("src").orderBy(F.col("part").desc()))
+    last = F.max(F.when(F.col("at") == top_n, F.col("part"))).over(Window.partitionBy("src"))
+    slack = 2e-6  # similarities are rounded before they are ranked
+    near = near.withColumn("at", at).withColumn("last", F.coalesce(last, F.lit(0.0))).where(F.col("part") + F.col("na") * F.col("nb") + slack >= F.col("last"))
+    both = near.select("src", "dst", "part").join(side("src", "ma", "na").drop("na"), "src", "left").join(side("dst", "mb", "nb").drop("nb"), "dst", "left")
+    shared = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
+    exact = both.select("src", "dst", F.round(F.col("part") + F.coalesce(shared, F.lit(0.0)), 6).alias("sim"))
     order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    ranked = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    ends = ranked.groupBy("src").agg(F.max("rank").alias("have"), F.min("sim").alias("end"))
+    reach = parts.select(F.col("job_id").alias("src"), "norm").crossJoin(F.broadcast(most)).join(ends, "src", "left")
+    short = (F.coalesce("have", F.lit(0)) < top_n) | (F.col("norm") * F.col("most") + slack >= F.col("end"))
+    again = reach.where(short).select("src")
+    full = _pairs(vectors.join(again.withColumnRenamed("src", "job_id"), "job_id", "left_semi"), vectors, "sim").withColumn("sim", F.round("sim", 6))
+    full = full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    return ranked.join(again, "src", "left_anti").select("src", "dst", "sim", "rank").unionByName(full.select("src", "dst", "sim", "rank"))

@@ -53,13 +53,18 @@ def history_weights(histories: DataFrame, p: Params = Params()) -> DataFrame:
     return rows.select("session_id", "job_id", "pos", F.when(total > 0, F.col("raw") / total).otherwise(F.lit(1.0) / F.col("_n")).alias("hw"))
 
 
-def lexical_scores(histories: DataFrame, vectors: DataFrame, p: Params = Params()) -> DataFrame:
-    """(session_id, job_id, score): profile times item vectors; for ``max_sim`` the best weighted similarity to a history item."""
+def lexical_scores(histories: DataFrame, vectors: DataFrame, p: Params = Params(), candidates: DataFrame | None = None) -> DataFrame:
+    """(session_id, job_id, score): profile times item vectors; for ``max_sim`` the best weighted similarity to a history item.
+
+    Only ``candidates`` are scored, if given: terms of other items never meet a profile.
+    """
     known = vectors.select("job_id").distinct()
     weights = history_weights(histories.join(known, "job_id", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1), p)
-    items = vectors.select(F.col("job_id").alias("cand"), "term", F.col("w").alias("cw"))
+    scored = vectors if candidates is None else vectors.join(candidates.select("job_id").distinct(), "job_id", "left_semi")
+    items = scored.select(F.col("job_id").alias("cand"), "term", F.col("w").alias("cw"))
     if p.pooling == "max_sim":
-        pairs = vectors.select("job_id", "term", "w").join(items, "term").groupBy("job_id", "cand").agg(F.sum(F.col("w") * F.col("cw")).alias("sim"))
+        read = vectors.join(histories.select("job_id").distinct(), "job_id", "left_semi")
+        pairs = read.select("job_id", "term", "w").join(items, "term").groupBy("job_id", "cand").agg(F.sum(F.col("w") * F.col("cw")).alias("sim"))
         rows = weights.join(pairs, "job_id").groupBy("session_id", F.col("cand").alias("job_id")).agg(F.max(F.col("hw") * F.col("sim")).alias("score"))
     else:
         profile = weights.join(vectors, "job_id").groupBy("session_id", "term").agg(F.sum(F.col("hw") * F.col("w")).alias("pw"))
@@ -114,7 +119,7 @@ def predict(histories: DataFrame, sessions: DataFrame, candidates: DataFrame, in
     jobs = interactions.select("job_id").unionByName(listings.select("job_id"))
     vectors = lexical_vectors(item_texts(jobs, listings, p), p)
     if p.variant == "TFIDF_WORD":
-        personal = lexical_scores(histories, vectors, p)
+        personal = lexical_scores(histories, vectors, p, candidates)
     elif p.variant == "LSA_TFIDF":
         personal = dense_scores(histories, dense_vectors(vectors, p.lsa_components), candidates, p).where(is_signal(F.col("score")))
     elif p.variant == "LEXICAL_DENSE_BLEND":

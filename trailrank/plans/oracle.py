@@ -160,7 +160,7 @@ def _trials(trials: list[tuple[float, float, float]]) -> str:
 def _terms(listing: str, min_df: int, max_df: float, sublinear: bool, limit: int | None) -> str:
     tf = "(1 + ln(tf))" if sublinear else "tf::DOUBLE"
     cut = f"ORDER BY al DESC, term LIMIT {limit}" if limit else ""
-    return f"""ls AS ({listing}), tk0 AS (SELECT job_id, regexp_extract_all(strip_accents(lower(text)), '\\b\\w\\w+\\b') AS ws FROM ls),
+    return f"""ls AS ({listing}), tk0 AS (SELECT job_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM ls),
     gr AS (SELECT job_id, unnest(list_concat(ws, CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) ELSE [] END)) AS term FROM tk0),
     tc AS (SELECT job_id, term, count(*) AS tf FROM gr GROUP BY ALL), nn AS (SELECT count(*) AS nd FROM ls),
     tdf AS (SELECT term, ln((1 + nd) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS al, any_value(nd) AS nd FROM tc, nn GROUP BY 1)
@@ -269,7 +269,7 @@ ORACLE_SQL: dict[str, str] = {
     "gnn_priors": _a(HT, f"g AS (SELECT job_id, sum(w) + 1e-6 AS raw FROM (SELECT session_id, job_id, max({_w(1.0, 1.19208)}) AS w FROM h GROUP BY ALL UNION ALL SELECT session_id, job_id, {_w(1.0, 1.19208)} FROM t) GROUP BY 1), gm AS (SELECT max(raw) AS top FROM g)", final="SELECT job_id, round(raw / top, 6) AS prior, round(1e-6 / top, 6) AS fallback FROM g, gm"),
     "gnn_sampler_pop": _a("c AS (SELECT job_id, count(DISTINCT session_id) AS k FROM a GROUP BY 1)", final="SELECT job_id, round(k::DOUBLE / (SELECT sum(k) FROM c), 6) AS share FROM c"),
     "text_clean": "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(8203), ' '), '_+x000D_+', ' ', 'g'), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+', ' ', 'g')) AS b FROM documents) SELECT job_id, md5(b) AS basic, CAST(length(strip_accents(b)) AS BIGINT) AS chars FROM c",
-    "text_tokens": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '\\b\\w\\w+\\b')) AS term FROM documents) GROUP BY 1",
+    "text_tokens": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1",
     "tfidf": f"WITH {PART_TERMS} SELECT job_id, term, round(w, 6) AS w FROM tv",
     "text_neighbors": f"WITH {NEAR_TERMS}, {NEAR} SELECT src, dst, sim, rank FROM near50",
     "cbf_recency": _cbf("recency"),

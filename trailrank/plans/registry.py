@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,13 @@ def _content(histories, asked, candidates, interactions, targets, listings, p):
 def _factors(histories, asked, candidates, interactions, targets, listings, p):
     p = p or factors.Params()
     rated = factors.ratings(interactions, targets, p)
-    build = {"MF_IMPLICIT_BPR": factors.bpr_factors, "MF_IMPLICIT_ALS": factors.als_factors, "MF_SVD": factors.svd_factors}[p.variant]
-    return factors.predict(histories, asked, candidates, rated, build(rated, p), p)
+    build = {"MF_IMPLICIT_BPR": factors.bpr_factors, "MF_IMPLICIT_ALS": factors.als_factors, "MF_IMPLICIT_LMF": factors.lmf_factors, "MF_SVD": factors.svd_factors}
+    return factors.predict(histories, asked, candidates, rated, build[p.variant](rated, p), p)
 
 
 def _graph(histories, asked, candidates, interactions, targets, listings, p):
-    return graph.predict(histories, asked, candidates, interactions, targets, p or graph.Params())
+    p = p or graph.Params()
+    return graph.predict(histories, asked, candidates, interactions, targets, p, graph.train(interactions, p))
 
 
 MODELS = {"popularity": _popularity, "item_item": _item_item, "user_user": _session_session, "cbf": _content, "mf": _factors, "session_gnn": _graph}
@@ -49,9 +52,26 @@ def scores(model: str, histories: DataFrame, asked: DataFrame, candidates: DataF
     return MODELS[model](histories, asked, candidates, interactions, targets, listings, params)
 
 
+def available(models, histories: DataFrame, asked: DataFrame, candidates: DataFrame, interactions: DataFrame, targets: DataFrame | None = None, listings: DataFrame | None = None, params: dict | None = None) -> dict[str, DataFrame]:
+    """Score tables of those of ``models`` that can be built."""
+    built = {}
+    for model in models:
+        try:
+            built[model] = scores(model, histories, asked, candidates, interactions, targets, listings, (params or {}).get(model))
+        except (ValueError, KeyError, TypeError) as reason:
+            warnings.warn(f"model {model} is left out: {reason}", stacklevel=2)
+    if not built:
+        raise ValueError("no model can be built")
+    return built
+
+
 def recommend(weights: dict[str, float], histories: DataFrame, asked: DataFrame, candidates: DataFrame, interactions: DataFrame, targets: DataFrame | None = None, listings: DataFrame | None = None, mode: str = "minmax", k: int = 10) -> DataFrame:
-    """(session_id, rank, job_id) by the weighted blend; ``candidates`` is (job_id, cand_rank)."""
-    stacked = ensemble.stack({m: scores(m, histories, asked, candidates, interactions, targets, listings) for m, w in weights.items() if w > 0})
+    """(session_id, rank, job_id) by the weighted blend; ``candidates`` is (job_id, cand_rank).
+
+    Models that cannot work on what is given, such as the content ranker without
+    listings, are left out with a warning; without any model left it fails.
+    """
+    stacked = ensemble.stack(available({m: w for m, w in weights.items() if w > 0}, histories, asked, candidates, interactions, targets, listings))
     return ensemble.recommend(ensemble.blend(stacked, weights, mode), asked, histories, candidates, k=k)
 
 
