@@ -395,6 +395,19 @@ def mf_bpr_scores(spark, d):
     return _mf(spark, d, lambda r: factors.bpr_factors(r, rank=16, epochs=20))
 
 
+@query
+def mf_lmf_scores(spark, d):
+    return _mf(spark, d, lambda r: factors.lmf_factors(r, rank=16, epochs=20))
+
+
+@query
+def gnn_scores(spark, d):
+    """The trained graph ranker, with fewer and smaller steps than its defaults."""
+    history, truth = split(log_b(spark, d))
+    p = replace(graph.Params(), d_model=32, epochs=2, n_neg=64, dropout=0.1, lr=5e-3)
+    return graph.predict(history, truth, log_b(spark, d).select("job_id"), history, None, p, graph.train(history, p))
+
+
 @query
 def gnn_edges(spark, d):
     return graph.edges(log_b(spark, d)).select("session_id", "src", "dst", r6("w"))
