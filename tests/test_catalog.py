@@ -22,7 +22,7 @@ def same(value):
     return round(float(value), 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", ["markov_mrr", "pop_trending", "pop_hybrid", "ii_scores", "uu_scores", "cbf_recency", "norm_rank", "ensemble_recs", "weight_grid_mrr", "text_clean", "tfidf", "submission", "gnn_examples", "explode_sessions", "disjoint_union"])
+@pytest.mark.parametrize("name", ["markov_mrr", "pop_trending", "pop_hybrid", "ii_scores", "uu_scores", "cbf_recency", "norm_rank", "ensemble_recs", "weight_grid_mrr", "text_clean", "tfidf", "submission", "submission_blend", "gnn_examples", "explode_sessions", "disjoint_union"])
 def test_query_matches_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DIR).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)

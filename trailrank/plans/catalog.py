@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailrank.functions import metrics, schema, scores, text
 from trailrank.operators import action, content, ensemble, factors, graph, itemitem, markov, popularity, sessions
+from trailrank.plans import search
 from trailrank.plans.oracle import ORACLE_SQL
 from trailrank.sources import files, tables
 
@@ -519,16 +520,11 @@ def markov_only_mrr(spark, d):
 # normalisation, blending, evaluation
 
 
-def _candidates(log):
-    counts = log.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("job_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "job_id")).alias("cand_rank"))
-
-
 def _stack(spark, d):
     log = log_b(spark, d)
     history, truth = split(log)
     pop = popularity.predict(popularity.fit(history), truth, log.select("job_id"))
-    return ensemble.stack({"pop": pop, "ii": _ii(spark, d), "uu": _uu(spark, d)}).withColumn("score", F.round("score", 9)), history, truth, _candidates(history)
+    return ensemble.stack({"pop": pop, "ii": _ii(spark, d), "uu": _uu(spark, d)}).withColumn("score", F.round("score", 9)), history, truth, ensemble.candidate_order(history)
 
 
 @query
@@ -581,6 +577,16 @@ def submission(spark, d):
     return action.last_action(history, truth).join(lists, "session_id").select("session_id", "action", "job_id")
 
 
+@query
+def submission_blend(spark, d):
+    """The blend refitted on the training sessions with their targets and on the asked sessions' histories."""
+    log, valid = log_b(spark, d), schema.valid_split(F.col("session_id"))
+    history, truth = split(log)
+    known = log.where(~valid).unionByName(history.where(valid))
+    weights = {"popularity": BLEND["pop"], "item_item": BLEND["ii"], "user_user": BLEND["uu"]}
+    return search.refit_submission(weights, known, history.where(valid), truth.where(valid), log.select("job_id"))
+
+
 @query
 def submission_checks(spark, d):
     history, truth, trans, popular = _markov(spark, d)

@@ -144,7 +144,12 @@ STACK = f"""{POP_FIT.replace('known AS (SELECT job_id FROM h UNION SELECT job_id
 STACK_ALL = [HT, *II_ALL, *UU_ALL, UU_SCORE, WEIGHTED, STACK]
 MINMAX = """nm AS (SELECT session_id, job_id, model, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END AS score FROM
     (SELECT *, min(score) OVER (PARTITION BY session_id, model) AS lo, max(score) OVER (PARTITION BY session_id, model) AS hi FROM stacked))"""
+#: Training sessions whole, held-out ones without their targets.
+REFIT_HT = """v AS (SELECT *, CAST(concat('0x', substr(md5(session_id), 1, 8)) AS BIGINT) % 10 < 3 AS valid FROM a),
+    h AS (SELECT session_id, job_id, action, so, pos, n - valid::INT AS n FROM v WHERE NOT valid OR pos < n - 1),
+    t AS (SELECT session_id, job_id, action, so FROM v WHERE valid AND pos = n - 1)"""
 CAND = "cr AS (SELECT job_id, row_number() OVER (ORDER BY count(*) DESC, job_id) AS cand_rank FROM h GROUP BY 1)"
+BLENDED = "bl AS (SELECT session_id, job_id, round(sum(CASE model WHEN 'pop' THEN 0.2::DOUBLE WHEN 'ii' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END * score), 9) AS score FROM nm GROUP BY ALL), b1 AS (SELECT session_id, job_id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, cand_rank) AS rank FROM bl JOIN cr USING (job_id) WHERE (session_id, job_id) NOT IN (SELECT session_id, job_id FROM h) QUALIFY rank <= 10)"
 
 
 def _trials(trials: list[tuple[float, float, float]]) -> str:
@@ -280,10 +285,11 @@ ORACLE_SQL: dict[str, str] = {
     "markov_only_mrr": _a(HT, ALL_T, CHAIN, SEEN, SHARE, _pops("first", 500, 0.01, 500), HITS, final=MRR),
     "norm_minmax": _b(*STACK_ALL, MINMAX, final="SELECT session_id, job_id, model, round(score, 6) AS score FROM nm"),
     "norm_rank": _b(*STACK_ALL, final="SELECT session_id, job_id, model, round(CASE WHEN c = 1 THEN 1 ELSE 1 - (r - 1)::DOUBLE / (c - 1) END, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id, model ORDER BY score DESC, job_id) AS r, count(*) OVER (PARTITION BY session_id, model) AS c FROM stacked)"),
-    "ensemble_recs": _b(*STACK_ALL, MINMAX, CAND, "bl AS (SELECT session_id, job_id, round(sum(CASE model WHEN 'pop' THEN 0.2::DOUBLE WHEN 'ii' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END * score), 9) AS score FROM nm GROUP BY ALL), b1 AS (SELECT session_id, job_id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, cand_rank) AS rank FROM bl JOIN cr USING (job_id) WHERE (session_id, job_id) NOT IN (SELECT session_id, job_id FROM h) QUALIFY rank <= 10)", final="SELECT session_id, rank, job_id FROM b1"),
+    "ensemble_recs": _b(*STACK_ALL, MINMAX, CAND, BLENDED, final="SELECT session_id, rank, job_id FROM b1"),
     "weight_grid_mrr": _b(*STACK_ALL, MINMAX, CAND, _trials([(0.2, 0.5, 0.3), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0.25, 0.25, 0.5)]), final="SELECT trial, sessions, mrr FROM rr"),
     "model_breakdown": _b(*STACK_ALL, MINMAX, CAND, _trials([(0, 1, 0), (1, 0, 0), (0, 0, 1)]), final="SELECT CASE trial WHEN 0 THEN 'ii' WHEN 1 THEN 'pop' ELSE 'uu' END AS model, sessions, mrr FROM rr"),
     "challenge_score": _a(HT, ALL_T, RECS, HITS, MRR_CTE, LAST_ACTION, "ac AS (SELECT round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM la)", final="SELECT mrr, accuracy, round(mrr * 0.7::DOUBLE + accuracy * 0.3::DOUBLE, 6) AS score FROM m, ac"),
+    "submission_blend": _b(REFIT_HT, *STACK_ALL[1:], MINMAX, CAND, BLENDED, LAST_ACTION, final="SELECT session_id, y_pred AS action, string_agg(job_id, ',' ORDER BY rank) AS job_id FROM la JOIN b1 USING (session_id) GROUP BY ALL"),
     "submission_checks": _a(HT, ALL_T, RECS, final="SELECT count(*) AS asked, count(n) AS answered, CAST(sum((coalesce(n, 0) <> 10)::INT) AS BIGINT) AS not_k, 0::BIGINT AS null_jobs FROM t LEFT JOIN (SELECT session_id, count(job_id) AS n FROM recs GROUP BY 1) USING (session_id)"),
     "submission": _a(HT, ALL_T, RECS, LAST_ACTION, """sh AS (SELECT job_id, row_number() OVER (ORDER BY count(*) DESC, job_id) AS pr FROM a GROUP BY 1),
     out AS (SELECT session_id, job_id FROM recs UNION SELECT session_id, job_id FROM h), hv AS (SELECT t.session_id, count(r.job_id) AS have FROM t LEFT JOIN recs r USING (session_id) GROUP BY 1),

@@ -65,13 +65,14 @@ def available(models, histories: DataFrame, asked: DataFrame, candidates: DataFr
     return built
 
 
-def recommend(weights: dict[str, float], histories: DataFrame, asked: DataFrame, candidates: DataFrame, interactions: DataFrame, targets: DataFrame | None = None, listings: DataFrame | None = None, mode: str = "minmax", k: int = 10) -> DataFrame:
+def recommend(weights: dict[str, float], histories: DataFrame, asked: DataFrame, candidates: DataFrame, interactions: DataFrame, targets: DataFrame | None = None, listings: DataFrame | None = None, mode: str = "minmax", k: int = 10, params: dict | None = None) -> DataFrame:
     """(session_id, rank, job_id) by the weighted blend; ``candidates`` is (job_id, cand_rank).
 
     Models that cannot work on what is given, such as the content ranker without
     listings, are left out with a warning; without any model left it fails.
     """
-    stacked = ensemble.stack(available({m: w for m, w in weights.items() if w > 0}, histories, asked, candidates, interactions, targets, listings))
+    built = available({m: w for m, w in weights.items() if w > 0}, histories, asked, candidates.select("job_id"), interactions, targets, listings, params)
+    stacked = ensemble.stack(built).withColumn("score", F.round("score", 9))
     return ensemble.recommend(ensemble.blend(stacked, weights, mode), asked, histories, candidates, k=k)
 
 
