@@ -87,6 +87,24 @@ def k_sweep(histories: DataFrame, truth: DataFrame, trans: DataFrame, popular: D
     return out
 
 
+def popular_unseen(wanted: DataFrame, barred: DataFrame, seen: DataFrame, popularity: DataFrame, k: int, beyond: int) -> DataFrame:
+    """(session_id, have, job_id, share, at): the first k popular jobs that each session of ``wanted`` is not barred from.
+
+    A session with n barred jobs finds them among the first n + k places, so it
+    meets those places only, by an equi-join. ``beyond`` bounds n + k less the
+    session's jobs in ``seen``; so only the head of the popular jobs is numbered.
+    """
+    longest = seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    order = (F.col("share").desc(), F.col("job_id"))
+    head = popularity.select("job_id", "share").orderBy(*order).limit(longest + beyond).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    counts = barred.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    places = F.sequence(F.lit(1), F.coalesce("n", F.lit(0)).cast("int") + k)
+    asked = wanted.join(counts, "session_id", "left").select("session_id", "have", F.explode(places).alias("place"))
+    unseen = asked.join(head, "place").join(barred, ["session_id", "job_id"], "left_anti")
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("place"))
+    return unseen.select("session_id", "have", "job_id", "share", at.alias("at")).where(F.col("at") <= k)
+
+
 def hybrid_tiers(histories: DataFrame, sessions: DataFrame, chain: DataFrame, similar: DataFrame | None, popularity: DataFrame, k: int = 10, sim_weight: float = 0.8, pop_weight: float = 0.1, pop_cap: int = 200, gate: int | None = None) -> DataFrame:
     """(session_id, rank, job_id, score) of the three-tier hybrid.
 
@@ -112,14 +130,10 @@ def hybrid_tiers(histories: DataFrame, sessions: DataFrame, chain: DataFrame, si
         near = short(first).join(similar, F.col("last_job") == F.col("src")).select("session_id", F.col("dst").alias("job_id"), (F.lit(sim_weight) * F.col("sim")).alias("score"))
         rows = rows.unionByName(near.join(seen, ["session_id", "job_id"], "left_anti"))
     rows = rows.groupBy("session_id", "job_id").agg(F.max("score").alias("score"))
+    barred = seen.unionByName(rows.select("session_id", "job_id")).distinct()
     # popular jobs come in one global order, so k of them unseen are all that can reach the k best
-    out = seen.unionByName(rows.select("session_id", "job_id")).distinct()
-    longest = out.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    ordered = popularity.withColumn("pop_rank", F.row_number().over(Window.orderBy(F.col("share").desc(), "job_id")))
-    ordered = ordered.crossJoin(F.broadcast(longest)).where(F.col("pop_rank") <= F.col("most") + k).drop("most")
-    pops = short(rows).crossJoin(F.broadcast(ordered)).join(out, ["session_id", "job_id"], "left_anti")
-    at = F.row_number().over(Window.partitionBy("session_id").orderBy("pop_rank"))
-    pops = pops.withColumn("at", at).where((F.col("at") + F.col("have") <= pop_cap) & (F.col("at") <= k))
+    pops = popular_unseen(short(rows).select("session_id", "have"), barred, seen, popularity, k, (gate or k) + k)
+    pops = pops.where(F.col("at") + F.col("have") <= pop_cap)
     rows = rows.unionByName(pops.select("session_id", "job_id", (F.lit(pop_weight) * F.col("share")).alias("score")))
     return top_k(rows, k)
 
@@ -133,11 +147,10 @@ def text_only(histories: DataFrame, similar: DataFrame, k: int = 10) -> DataFram
 
 def pad(ranked: DataFrame, sessions: DataFrame, popularity: DataFrame, histories: DataFrame, k: int = 10) -> DataFrame:
     """(session_id, rank, job_id): ranked rows, then popular unseen jobs, up to k."""
-    seen = histories.select("session_id", "job_id").unionByName(ranked.select("session_id", "job_id")).distinct()
-    longest = seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    ordered = popularity.withColumn("pop_rank", F.row_number().over(Window.orderBy(F.col("share").desc(), "job_id"))).crossJoin(F.broadcast(longest)).where(F.col("pop_rank") <= F.col("most") + k)
+    seen = histories.select("session_id", "job_id").distinct()
+    barred = seen.unionByName(ranked.select("session_id", "job_id")).distinct()
     have = ranked.groupBy("session_id").agg(F.count(F.lit(1)).alias("have"))
     short = sessions.select("session_id").join(have, "session_id", "left").select("session_id", F.coalesce("have", F.lit(0)).alias("have")).where(F.col("have") < k)
-    more = short.crossJoin(F.broadcast(ordered.select("job_id", "pop_rank"))).join(seen, ["session_id", "job_id"], "left_anti")
-    more = more.withColumn("rank", F.col("have") + F.row_number().over(Window.partitionBy("session_id").orderBy("pop_rank"))).where(F.col("rank") <= k)
+    more = popular_unseen(short, barred, seen, popularity, k, 2 * k)
+    more = more.withColumn("rank", F.col("have") + F.col("at")).where(F.col("rank") <= k)
     return ranked.select("session_id", F.col("rank").cast("long").alias("rank"), "job_id").unionByName(more.select("session_id", F.col("rank").cast("long").alias("rank"), "job_id"))

@@ -85,6 +85,20 @@ def session_split(spark, d):
     return rows.groupBy("valid").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("session_id").alias("n_sessions"))
 
 
+@query
+def targets_norm(spark, d):
+    """Targets without actions, some without a job."""
+    _, truth = split(log_b(spark, d))
+    return schema.normalize_targets(truth.select("session_id", F.when(F.col("session_id").cast("long") % 7 != 0, F.col("job_id")).alias("job_id")))
+
+
+@query
+def id_coercion(spark, d):
+    part = tables.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") % 3).alias("m"))
+    given = F.concat(F.when(F.col("m") == 0, "00").when(F.col("m") == 1, "x").otherwise("-"), F.col("k"))
+    return part.select("k", schema.as_int_if_possible(given).alias("job_id"))
+
+
 @query
 def last_k_history(spark, d):
     history, _ = split(log_b(spark, d))
@@ -354,6 +368,14 @@ def uu_scores(spark, d):
     return _uu(spark, d).select("session_id", "job_id", r6("score"))
 
 
+@query
+def uu_scores_boost(spark, d):
+    """Session-session scores with the boosts of a neighbour's last places."""
+    history, truth = split(log_b(spark, d))
+    p = replace(sessions.Params(), use_sequence_boost=True)
+    return sessions.predict(history, truth, log_b(spark, d).select("job_id"), history, None, p).select("session_id", "job_id", r6("score"))
+
+
 @query
 def action_priors(spark, d):
     history, truth = split(log_a(spark, d))
@@ -446,6 +468,23 @@ def text_clean(spark, d):
     return rows.select("job_id", digest(text.clean_basic(F.col("text"))).alias("basic"), F.length(text.fold_accents(text.clean_basic(F.col("text")))).cast("long").alias("chars"))
 
 
+@query
+def text_modes(spark, d):
+    rows = tables.documents_as_listings(spark, d)
+    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
+    return rows.select("job_id", digest(text.clean_punctuation(F.col("text"))).alias("normalized"), digest(text.clean_listing(F.col("text"))).alias("listing"))
+
+
+@query
+def text_sections(spark, d):
+    """Titles and summaries of listings that have both, one or none of them."""
+    part, m = tables.read(spark, d, "part"), F.col("p_partkey") % 4
+    both, title = F.concat(F.lit("Title: "), "p_name", F.lit("  Summary: "), "p_type"), F.concat(F.lit("TITLE "), "p_name")
+    summary, neither = F.concat(F.lit("x summary:"), "p_type"), F.concat_ws(" - ", "p_name", "p_brand")
+    rows = part.select(F.col("p_partkey").cast("string").alias("job_id"), F.when(m == 0, both).when(m == 1, title).when(m == 2, summary).otherwise(neither).alias("text"))
+    return rows.select("job_id", text.title_summary(F.col("text")).alias("section"), text.preprocess(F.col("text"), "title_summary").alias("cleaned"))
+
+
 @query
 def text_tokens(spark, d):
     rows = tables.documents_as_listings(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term"))
@@ -510,6 +549,13 @@ def hybrid_recs(spark, d):
     return ranked.select("session_id", long("rank"), "job_id")
 
 
+@query
+def text_only_recs(spark, d):
+    history, _ = split(log_a(spark, d))
+    vectors = text.tfidf(tables.parts_as_listings(spark, d), min_df=3, max_df=1.0, max_features=None, sublinear=False)
+    return markov.text_only(history, text.neighbors(vectors, 50).select("src", "dst", "sim")).select("session_id", long("rank"), "job_id")
+
+
 @query
 def markov_only_mrr(spark, d):
     history, truth, chain, share = _hybrid(spark, d)

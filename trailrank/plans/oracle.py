@@ -202,6 +202,9 @@ def _cbf(pooling: str) -> str:
     FROM grid g LEFT JOIN cs USING (session_id, job_id) LEFT JOIN ap ON ap.job_id = g.job_id, (SELECT max(fallback) AS fallback FROM ap) f""")
 
 
+#: White space and word characters as ranges of a regular expression.
+SPACE = "\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B"
+WORD = "\\p{L}\\p{M}\\p{N}\\p{Pc}"
 SHARE = "sh AS (SELECT job_id, round(count(*)::DOUBLE / (SELECT count(*) FROM a), 9) AS share, row_number() OVER (ORDER BY round(count(*)::DOUBLE / (SELECT count(*) FROM a), 9) DESC, job_id) AS pr FROM a GROUP BY 1)"
 CHAIN = "ch AS (SELECT from_job, to_job, round(prob, 9) AS prob FROM tr QUALIFY row_number() OVER (PARTITION BY from_job ORDER BY prob DESC, to_job) <= 50)"
 SEEN = f"{LASTJOB}, seen AS (SELECT DISTINCT session_id, job_id FROM h), first AS (SELECT session_id, to_job AS job_id, prob AS score FROM lj JOIN ch ON last_job = from_job WHERE (session_id, to_job) NOT IN (SELECT * FROM seen))"
@@ -226,6 +229,8 @@ ORACLE_SQL: dict[str, str] = {
     "session_arrays": _a(final="SELECT session_id, string_agg(job_id, ',' ORDER BY pos) AS job_ids, string_agg(action, ',' ORDER BY pos) AS actions FROM a GROUP BY 1"),
     "append_target": _a(final="SELECT session_id, string_agg(job_id, ',' ORDER BY pos) AS job_ids, string_agg(action, ',' ORDER BY pos) AS actions FROM a WHERE n > 1 GROUP BY 1"),
     "session_split": _a(final="SELECT CAST(concat('0x', substr(md5(session_id), 1, 8)) AS BIGINT) % 10 < 3 AS valid, count(*) AS n_rows, count(DISTINCT session_id) AS n_sessions FROM a GROUP BY 1"),
+    "targets_norm": _b(HT, final="SELECT session_id, job_id, 'view' AS action FROM t WHERE so % 7 <> 0"),
+    "id_coercion": "WITH g AS (SELECT CAST(p_partkey AS VARCHAR) AS k, concat(CASE p_partkey % 3 WHEN 0 THEN '00' WHEN 1 THEN 'x' ELSE '-' END, p_partkey) AS v FROM part) SELECT k, coalesce(CAST(TRY_CAST(v AS BIGINT) AS VARCHAR), v) AS job_id FROM g",
     "last_k_history": _b(HT, final="SELECT session_id, job_id, action, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS pos FROM h WHERE n - pos <= 5"),
     "action_codes": _b(final="SELECT action, CASE WHEN action = 'apply' THEN 'apply' ELSE 'view' END AS \"binary\", CASE WHEN action = 'apply' THEN 1 ELSE 0 END AS code, count(*) AS n FROM a GROUP BY ALL"),
     "disjoint_union": _b("s AS (SELECT *, CAST(concat('0x', substr(md5(session_id), 1, 8)) AS BIGINT) % 10 < 3 AS valid FROM a), top AS (SELECT max(so) AS mx FROM s WHERE NOT valid AND n > 1)", final="SELECT CASE WHEN valid THEN CAST(so + mx + 1 AS VARCHAR) ELSE session_id END AS session_id, count(*) AS n, arg_max(job_id, pos) AS last_job FROM s, top GROUP BY 1"),
@@ -265,6 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "iuf": _a(HT, STORED, IUF, final="SELECT job_id, df, round(iuf, 6) AS iuf FROM uf"),
     "uu_neighbors": _b(HT, STORED, IUF, UU_NEAR, final="SELECT session_id, neighbor, sim FROM un"),
     "uu_scores": _b(HT, GRID, *UU_ALL, UU_SCORE, final="SELECT session_id, job_id, round(score, 6) AS score FROM uus"),
+    "uu_scores_boost": _b(HT, GRID, *UU_ALL, UU_SCORE.replace("m - 1 - p2))", "m - 1 - p2) * CASE WHEN p2 >= greatest(0, m - 2) THEN 1.32::DOUBLE ELSE 1 END * CASE WHEN p2 = m - 1 THEN 1.27::DOUBLE ELSE 1 END)"), final="SELECT session_id, job_id, round(score, 6) AS score FROM uus"),
     "action_priors": _a(HT, _prior(1.53, 1.59, True), final="SELECT job_id, round(prior, 6) AS prior, round(fallback, 6) AS fallback FROM ap"),
     "mf_ratings": _a(HT, f"mr AS (SELECT session_id, job_id, sum(s) AS raw_signal, count(*) AS events FROM (SELECT session_id, job_id, {_w(0.76, 1.48)} * power(0.95::DOUBLE, n - 1 - pos) AS s FROM h WHERE n - pos <= 7 UNION ALL SELECT session_id, job_id, {_w(0.76, 1.48)} FROM t) GROUP BY ALL)", final="SELECT session_id, job_id, round(greatest(least(ln(1 + greatest(raw_signal, 0)), 2.47::DOUBLE), 1e-6), 6) AS rating, round(raw_signal, 6) AS raw_signal, events FROM mr"),
     "mf_priors": _a(HT, f"mr AS (SELECT session_id, job_id, sum(s) AS raw FROM (SELECT session_id, job_id, {_w(0.76, 1.48)} * power(0.95::DOUBLE, n - 1 - pos) AS s FROM h WHERE n - pos <= 7 UNION ALL SELECT session_id, job_id, {_w(0.76, 1.48)} FROM t) GROUP BY ALL), sp AS (SELECT job_id, sum(greatest(least(ln(1 + raw), 2.47::DOUBLE), 1e-6)) AS support FROM mr GROUP BY 1), sa AS (SELECT sum(support) + count(*) + 1 AS under FROM sp)", final="SELECT job_id, round(support, 6) AS support, round((support + 1) / under, 6) AS prior, round(1 / under, 6) AS fallback FROM sp, sa"),
@@ -274,6 +280,9 @@ ORACLE_SQL: dict[str, str] = {
     "gnn_priors": _a(HT, f"g AS (SELECT job_id, sum(w) + 1e-6 AS raw FROM (SELECT session_id, job_id, max({_w(1.0, 1.19208)}) AS w FROM h GROUP BY ALL UNION ALL SELECT session_id, job_id, {_w(1.0, 1.19208)} FROM t) GROUP BY 1), gm AS (SELECT max(raw) AS top FROM g)", final="SELECT job_id, round(raw / top, 6) AS prior, round(1e-6 / top, 6) AS fallback FROM g, gm"),
     "gnn_sampler_pop": _a("c AS (SELECT job_id, count(DISTINCT session_id) AS k FROM a GROUP BY 1)", final="SELECT job_id, round(k::DOUBLE / (SELECT sum(k) FROM c), 6) AS share FROM c"),
     "text_clean": "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(8203), ' '), '_+x000D_+', ' ', 'g'), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+', ' ', 'g')) AS b FROM documents) SELECT job_id, md5(b) AS basic, CAST(length(strip_accents(b)) AS BIGINT) AS chars FROM c",
+    "text_modes": f"WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, lower(coalesce(text, '')) AS t, lower(regexp_replace(replace(coalesce(text, ''), chr(8203), ' '), '_+x000D_+', ' ', 'g')) AS b FROM documents) SELECT job_id, md5(trim(regexp_replace(regexp_replace(b, '[^{WORD}{SPACE}]', ' ', 'g'), '[{SPACE}]+', ' ', 'g'))) AS normalized, md5(trim(regexp_replace(regexp_replace(t, '[^{WORD}{SPACE}/+-]', ' ', 'g'), '[{SPACE}]+', ' ', 'g'))) AS listing FROM c",
+    "text_sections": """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS job_id, p_partkey % 4 AS m, CASE m WHEN 0 THEN concat(p_name, ' [SEP] ', p_type) WHEN 1 THEN p_name WHEN 2 THEN p_type ELSE concat(p_name, ' - ', p_brand) END AS section FROM part)
+    SELECT job_id, section, trim(regexp_replace(regexp_replace(lower(section), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS cleaned FROM c""",
     "text_tokens": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1",
     "tfidf": f"WITH {PART_TERMS} SELECT job_id, term, round(w, 6) AS w FROM tv",
     "text_neighbors": f"WITH {NEAR_TERMS}, {NEAR} SELECT src, dst, sim, rank FROM near50",
@@ -282,6 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "cbf_max_sim": _cbf("max_sim"),
     "cbf_last_item": _cbf("last_item"),
     "hybrid_recs": HYBRID_RECS,
+    "text_only_recs": _a(HT, LASTJOB, NEAR_TERMS, NEAR, final="SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY sim DESC, dst) AS rank, dst AS job_id FROM lj JOIN near50 ON src = last_job WHERE (session_id, dst) NOT IN (SELECT session_id, job_id FROM h) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sim DESC, dst) <= 10"),
     "markov_only_mrr": _a(HT, ALL_T, CHAIN, SEEN, SHARE, _pops("first", 500, 0.01, 500), HITS, final=MRR),
     "norm_minmax": _b(*STACK_ALL, MINMAX, final="SELECT session_id, job_id, model, round(score, 6) AS score FROM nm"),
     "norm_rank": _b(*STACK_ALL, final="SELECT session_id, job_id, model, round(CASE WHEN c = 1 THEN 1 ELSE 1 - (r - 1)::DOUBLE / (c - 1) END, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id, model ORDER BY score DESC, job_id) AS r, count(*) OVER (PARTITION BY session_id, model) AS c FROM stacked)"),
