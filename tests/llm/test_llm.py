@@ -256,6 +256,55 @@ def test_licences(spark):
     assert got == {(0, 1): "apache-2.0", (1, 1): "mit", (2, 1): "gpl-3.0", (3, 1): "cc-by-nc", (4, 1): "apache-2.0", (5, 1): "unknown"}
 
 
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    rng = random.Random(8)
+    return licenses.train(documents(spark, [prose(rng, 40) for _ in range(60)]))
+
+
+def test_every_window_of_a_template_passes_the_gate(spark):
+    windows = licenses._windows(licenses._templates(spark)).select(F.array_join("words", " ").alias("text"))
+    assert windows.count() > 1000 and windows.where(~licenses._tells(F.col("text"))).count() == 0
+
+
+def test_licence_paragraphs(spark, licence_model):
+    """Wrapped statements are judged whole, other languages and unknown licences are found, everyday uses of the words are not."""
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files,\nto deal in the Software without restriction."
+    said = [(wrapped, "mit"), ("Lizenziert unter der MIT-Lizenz.", "mit"), ("Publicado bajo la licencia Apache, versión 2.0.", "apache-2.0"), ("this software for any purpose with or without fee", "isc")]
+    said += [("SPDX-License-Identifier: MIT", "mit"), ("Ce logiciel est distribué sous licence libre", "unknown"), ("The Frobnicate License, version 2, applies to this program", "unknown")]
+    said += [(t, None) for t in ("we were hereby granted permission to visit the foundation", "she got her driving licence and the license plate", "He published a file on obtaining software")]
+    rows = spark.createDataFrame([(k, f"Ba dora.\n{t}\nStin mu") for k, (t, _) in enumerate(said)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["line_no"], r["family"]) for r in licenses.scan(rows, licence_model).collect()}
+    assert got == {k: (1, f) for k, (_, f) in enumerate(said) if f}
+    after = spark.createDataFrame([(1, f"{wrapped}\n\nReleased under the ISC License.")], "doc_id long, text string")
+    assert sorted((r["line_no"], r["family"]) for r in licenses.scan(after, licence_model).collect()) == [(0, "mit"), (4, "isc")]
+
+
+def test_licences_by_force(spark, licence_model):
+    """Probabilities and similarities from sets of n-grams in plain Python; null and repeated ids, repeated rows, clashing columns, an empty table."""
+    def grams(line):
+        words = [w for w in re.split(r"[^\w.+]+|\.+(?!\w)", line.lower()) if w]
+        return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.UNFAMILIAR + licenses.PLAIN
+    rows = [(None if k % 7 == 0 else k // 2, t) for k, t in enumerate(lines)] + [(3, lines[0]), (3, lines[0]), (None, None), (4, "")]
+    table = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, line_no int, row string, n int")
+    weights = dict(zip(licence_model.vocabulary, np.array(licence_model.weights).T, strict=True))
+    want = []
+    for doc_id, line in rows:
+        if not line or not any(g in weights for g in grams(line)):
+            continue
+        z = np.array(licence_model.intercepts) + sum(weights[g] for g in grams(line) if g in weights)
+        best, p = licence_model.classes[int(z.argmax())], 1 / np.exp(z - z.max()).sum()
+        if best == "none":
+            continue
+        near = max((len(grams(line) & grams(t)) / min(len(grams(line)), len(grams(t))) for f, t in licenses._all_templates() if f == best), default=0.0)
+        want.append((doc_id or -1, best if best != "unknown" and p >= licence_model.least and near >= licenses.LEAST_SHARED else "unknown", round(p, 6), round(near, 6)))
+    got = [(r["doc_id"] or -1, r["family"], round(r["probability"], 6), round(r["similarity"], 6)) for r in licenses.scan(table, licence_model).collect()]
+    assert len(want) > 30 and sorted(got) == sorted(want)
+    assert licenses.scan(table.limit(0), licence_model).count() == 0 and licenses.scan(table.limit(0)).count() == 0
+
+
 def test_packing_round_trip(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
