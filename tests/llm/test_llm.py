@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,6 +541,38 @@ def test_toxicity(spark):
     assert not any(r["toxic"] for r in toxicity.severity(rows, labels.limit(0)).collect())
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """On sf0.1, whose held-out quarter has 120 toxic rows; sf0.01 has 14, and 300 labels to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    got = toxicity.severity(docs, labels.where(~held)).withColumnRenamed("toxic", "said").join(labels.where(held), "doc_id").select("said", "toxic").collect()
+    hits = sum(r["said"] and r["toxic"] == 1 for r in got)
+    assert sum(r["toxic"] for r in got) >= 100
+    assert hits >= 0.8 * sum(r["toxic"] for r in got) and hits >= 0.9 * sum(r["said"] for r in got)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, clashing columns, an empty table; scores summed word by word in plain Python."""
+    rng = random.Random(6)
+    texts = [prose(rng, 30) + (" idiot moron" if k % 3 == 0 else "") for k in range(90)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(90)], "doc_id long, quality int, toxic int")
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (5, texts[3]), (7, None), (8, "")]
+    table = spark.createDataFrame([(i, t, "x", 0.5, True) for i, t in rows], "doc_id long, text string, severity string, p_toxic double, toxic boolean")
+    model = toxicity.train(table, labels)
+    weights = dict(zip(model.vocabulary.tolist(), model.weights, strict=True))
+    want = []
+    for doc_id, text in rows:
+        words = {w for w in re.findall("[a-z]+", lower(text or ""))}
+        marks = set()
+        for w in words:
+            marks |= {int(x) for x in next(iter(toxicity.distinct_words(pa.array([w]))))}
+        above = [1 / (1 + math.exp(t - sum(weights.get(m, 0.0) for m in marks))) for t in model.thresholds]
+        want.append((-1 if doc_id is None else doc_id, round(sum(above), 6), sum(p >= 0.5 for p in above), above[0] >= toxicity.TOXIC))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], round(r["severity"], 6), r["grade"], r["toxic"]) for r in toxicity.severity(table, labels).collect()]
+    assert sorted(got) == sorted(want) and any(t for *_, t in want)
+    assert toxicity.severity(table.limit(0), labels).count() == 0
+
+
 def topk_by_force(rows, k=5):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
