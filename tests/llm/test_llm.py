@@ -615,6 +615,19 @@ def test_postings_stop_on_proof_only(kind):
         assert set(np.flatnonzero(truth > sorted(truth)[-5])) <= set(rows.tolist())
 
 
+def test_queries_of_a_block_are_answered_together():
+    rng = np.random.default_rng(5)
+    matrix, ids = rng.integers(-200, 200, (2000, 16)), rng.permutation(5000)[:2000]
+    queries, numbers = np.concatenate([matrix[::4], -matrix[1::40], matrix[:1] * 0]), np.arange(2000)
+    rows = np.concatenate([np.arange(0, 2000, 4), 2000 + np.arange(51)])
+    query, found, score = topk.search_block(topk.Postings(matrix, topk.sum_type(matrix, 200)), numbers, ids, rows, queries, 5)
+    want = []
+    for number, q in zip(rows, queries, strict=True):
+        truth = sorted((-int(matrix[r] @ q), int(ids[r])) for r in range(2000) if r != number)[:5]
+        want += [(number, i, -s) for s, i in truth]
+    assert list(zip(query, found, score, strict=True)) == want
+
+
 def test_quality_learns_from_allowed_rows_only(spark):
     rng = random.Random(6)
     texts = [prose(rng, 30) if k % 3 else re.sub(" ", "### ", prose(rng, 30)) for k in range(400)]

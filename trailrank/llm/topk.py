@@ -8,12 +8,13 @@ below the greatest one; so impacts are never negative, and a query's score is a
 constant plus the sum of weight times impact.
 
 A query takes the segments of all dimensions in descending order of weight times
-greatest impact and adds to its rows' accumulators. From time to time each row's
-score is bounded: by what it has gathered plus, for every dimension that has not
-reached it yet, the best impact left there. The rows that have gathered most are
-scored exactly; when few rows' bounds still reach the k-th best of these scores,
-the query stops and scores all of those exactly. That is the proof: no other row
-can enter. Sums are exact integers throughout.
+greatest impact and adds to its rows' accumulators; the queries of a block do so
+together, each with its own order. From time to time each row's score is bounded:
+by what it has gathered plus, for every dimension that has not reached it yet,
+the best impact of its segment there. The rows with the best bounds are scored
+exactly; when few rows' bounds still reach the k-th best of these scores, the
+query stops and scores all of those exactly. That is the proof: no other row can
+enter. Sums are exact integers throughout.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from trailrank.llm._store import cut
 
 SCALE = 256
-LEVELS = 16
+LEVELS = 4
 #: Components of an index block, and of a query block.
 CELLS = 1 << 19
+#: Queries of a block that are answered together.
+QUERIES = 256
 #: A query ends when no more rows than this may still be members.
 FEW = 64
 #: Shares of all postings after which bounds are looked at.
-LOOKS = (0.4, 0.75)
+LOOKS = (0.75,)
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -64,77 +67,83 @@ def _unpack(row: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Postings:
-    """The posting segments of one block of integer vectors; ``exact`` is the float type that holds all sums."""
+    """The posting segments of one block of integer vectors; ``exact`` is the float type that holds all sums.
+
+    ``marks`` has a row for each segment (dimension, level) that marks its members,
+    ``values`` their components, so many queries' accumulators gather a look's
+    segments by one product.
+    """
 
     def __init__(self, matrix: np.ndarray, exact: type = np.float64):
         self.matrix, self.exact = matrix, exact
         n, dims = matrix.shape
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
         width = -(-(self.high - self.low + 1) // LEVELS)
-        self.level = ((matrix - self.low) // width).astype(np.int8)
-        order = np.argsort(matrix, axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, 0).T)
-        self.impacts = ((self.values - self.low[:, None]).astype(exact), (self.high[:, None] - self.values).astype(exact))
-        levels = np.take_along_axis(self.level, order, 0).T
-        self.starts = np.array([np.searchsorted(x, np.arange(LEVELS + 1)) for x in levels])
-        self.dim, self.of_level = np.nonzero(np.diff(self.starts, axis=1) > 0)
-        first, last = self.starts[self.dim, self.of_level], self.starts[self.dim, self.of_level + 1]
-        self.sizes = last - first
-        self.top, self.bottom = self.impacts[0][self.dim, last - 1], self.impacts[1][self.dim, first]
+        segment = (matrix - self.low) // width + np.arange(dims) * LEVELS
+        self.marks, self.values = (np.zeros((dims * LEVELS, n), exact) for _ in range(2))
+        self.marks[segment, np.arange(n)[:, None]] = 1
+        self.values[segment, np.arange(n)[:, None]] = matrix
+        self.sizes = self.marks.sum(axis=1).astype(np.int64)
+        self.top, self.bottom = (np.zeros(dims * LEVELS, np.int64) for _ in range(2))
+        np.maximum.at(self.top, segment.ravel(), (matrix - self.low).ravel())
+        np.maximum.at(self.bottom, segment.ravel(), (self.high - matrix).ravel())
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, score) of the possible members of the k best, row ``own`` left out (-1: none)."""
-        matrix, n = self.matrix, len(self.matrix)
-        if n - (own >= 0) <= max(FEW, k):
-            rows = np.flatnonzero(np.arange(n) != own)
-            return rows, matrix[rows] @ query
-        weight, up = np.abs(query).astype(self.exact), query > 0
-        base = int(np.where(up, self.low, self.high) @ query)
-        best = np.where(up[self.dim], self.top, self.bottom) * weight[self.dim]
-        order = np.argsort(-best, kind="stable")[: int((best > 0).sum())]
-        sizes = np.cumsum(self.sizes[order])
-        total = sizes[-1] if len(sizes) else 0
-        # In each dimension the segments taken so far are one span, from the top or from the bottom.
-        reached = np.where(up, LEVELS, -1)
-        gathered, done = np.zeros(n, self.exact), 0
+        return self.search_all(query[None, :], np.array([own]), k)[1:]
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, row, score) of the possible members of the k best of each query."""
+        n = len(self.matrix)
+        if n - 1 <= max(FEW, k):
+            at, rows = np.nonzero(np.arange(n) != own[:, None])
+            return at, rows, np.einsum("ij,ij->i", self.matrix[rows], queries[at])
+        weight, up = np.abs(queries), queries > 0
+        edge = np.where(up, self.low, self.high)
+        base = np.einsum("ij,ij->i", edge, queries)
+        spread = lambda x: np.repeat(x, LEVELS, axis=1)
+        best = np.where(spread(up), self.top, self.bottom) * spread(weight)
+        order = np.argsort(-best, axis=1, kind="stable")
+        sizes = np.where(best > 0, self.sizes, 0)
+        before = np.empty_like(sizes)  # postings of the segments before each one, in the query's order
+        falling = np.take_along_axis(sizes, order, 1)
+        np.put_along_axis(before, order, np.cumsum(falling, axis=1) - falling, 1)
+        share = before / np.maximum(sizes.sum(axis=1), 1)[:, None]
+        found, left = [], np.arange(len(queries))
         for look in (*LOOKS, 1.0):
-            part = order[done : np.searchsorted(sizes, look * total) + 1]
-            done += len(part)
-            before = reached.copy()
-            dims, levels = self.dim[part], self.of_level[part]
-            np.minimum.at(reached, dims[up[dims]], levels[up[dims]])
-            np.maximum.at(reached, dims[~up[dims]], levels[~up[dims]])
-            for d in np.flatnonzero(reached != before):
-                a, b = (self.starts[d, reached[d]], self.starts[d, before[d]]) if up[d] else (self.starts[d, before[d] + 1], self.starts[d, reached[d] + 1])
-                gathered[self.rows[d, a:b]] += self.impacts[0 if up[d] else 1][d, a:b] * weight[d]
-            if done == len(order):
-                bound = gathered.copy()
-            else:  # what each dimension may still add to the rows that it has not reached
-                ahead = np.zeros(len(query), self.exact)
-                np.maximum.at(ahead, self.dim[order[done:]], best[order[done:]])
-                unseen = np.where(up, self.level < reached.astype(np.int8), self.level > reached.astype(np.int8))
-                bound = gathered + unseen.astype(self.exact) @ ahead
-            if own >= 0:
-                bound[own] = -1
-                gathered[own] = -1
-            likely = np.argpartition(gathered, n - k)[n - k :]
-            least = int((matrix[likely] @ query).min()) - base
-            rows = np.flatnonzero(bound >= least)
-            if done == len(order) or len(rows) <= max(FEW, 4 * k):
-                return rows, matrix[rows] @ query
-
-
-def search_block(postings: Postings, numbers: np.ndarray, ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+            # A taken segment adds its rows' own impacts, another one at most its greatest.
+            taken = share[left] < look if look < 1 else np.ones((len(left), len(self.sizes)), bool)
+            ask = spread(queries[left])
+            sure = np.where(taken, ask, 0).astype(self.exact)
+            rest = np.where(taken, -ask * spread(edge[left]), best[left]).astype(self.exact)
+            bound = sure @ self.values + rest @ self.marks
+            mine = np.flatnonzero(own[left] >= 0)
+            bound[mine, own[left[mine]]] = -1
+            likely = np.argpartition(bound, n - k, axis=1)[:, n - k :]
+            least = np.einsum("ijk,ik->ij", self.matrix[likely], queries[left]).min(axis=1) - base[left]
+            reach = bound >= least[:, None]
+            done = (reach.sum(axis=1) <= max(FEW, 4 * k)) | (look == 1.0)
+            at, rows = np.nonzero(reach[done])
+            at = left[done][at]
+            found.append((at, rows, np.einsum("ij,ij->i", self.matrix[rows], queries[at])))
+            left = left[~done]
+            if not len(left):
+                break
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def search_block(postings: Postings, numbers: np.ndarray, ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score): the k best of a block for each query, ties to the smaller id, the query's own row left out."""
-    found = []
     at = np.searchsorted(numbers, query_rows)  # numbers ascend
     own = np.where((at < len(numbers)) & (numbers[at.clip(max=len(numbers) - 1)] == query_rows), at, -1)
-    for number, query, mine in zip(query_rows.tolist(), queries, own.tolist(), strict=True):
-        rows, scores = postings.search(query, mine, k)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        found += [(number, int(ids[rows[b]]), int(scores[b])) for b in best]
-    return found
+    parts = []
+    for start in range(0, len(queries), QUERIES):
+        part, rows, scores = postings.search_all(queries[start : start + QUERIES], own[start : start + QUERIES], k)
+        order = np.lexsort((ids[rows], -scores, part))
+        part, rows, scores = part[order], rows[order], scores[order]
+        rank = np.arange(len(part)) - np.searchsorted(part, part)
+        parts.append((query_rows[start + part[rank < k]], ids[rows[rank < k]], scores[rank < k]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def sum_type(matrix: np.ndarray, largest: int) -> type:
@@ -158,7 +167,7 @@ def _search(k: int):
                 if block != (row["dim"], row["block"], exact):  # a block's rows follow each other
                     block, postings = (row["dim"], row["block"], exact), Postings(matrix, exact)
                 found = search_block(postings, numbers, ids, query_rows, queries, k)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 3)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=schema)
 
     return run
 
@@ -184,6 +193,9 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id
     index = dealt(vectors, "blocks").groupBy("dim", "block").applyInArrow(_pack, _PACKED)
     asked = cut(dealt(vectors.where(asks), "query_blocks").groupBy("dim", "block").applyInArrow(_pack, _PACKED), "asked")
     copies = asked.join(sizes, "dim").select("dim", *[F.col(c).alias(f"query_{c}") for c in ("rows", "ids", "matrix")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # A block costs the same work however few bytes it has, so its number and not its size sets the tasks.
+    tasks = max(1, min(4096, 2 * (sizes.agg(F.sum("blocks")).first()[0] or 0)))
+    index, copies = (x.repartition(tasks, "dim", "block") for x in (index, copies))
     found = index.join(copies.hint("merge"), ["dim", "block"]).mapInArrow(_search(k), "query_row long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
     found = found.withColumn("rank", best).where(F.col("rank") <= k)
