@@ -1,6 +1,7 @@
 """Hand-computed cases and edge cases of the session operators."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -154,6 +155,25 @@ def test_tversky_cosine_and_scores(spark):
     assert itemitem.similarity(x, narrow).count() == 0
 
 
+def test_session_neighbors_by_force_with_copies(spark, monkeypatch):
+    """Classes of equal sessions in many small steps, ties and copies that cross the cut."""
+    monkeypatch.setattr(sessions, "STEP", 7)
+    monkeypatch.setattr(sessions, "ASK", 5)
+    rows = [(f"s{n}", f"j{j}", float(w)) for n in range(60) for j, w in ([(n % 4, 0.6), (9, 0.8)] if n % 3 else [(n % 7, 1.0)])]
+    v = spark.createDataFrame(rows, "session_id string, job_id string, w double")
+    p = replace(sessions.Params(), top_sessions=6)
+    vec = {}
+    for s, j, w in rows:
+        vec.setdefault(s, {})[j] = w
+    want = []
+    for s, a in vec.items():
+        sims = sorted((-round(sum(w * b[j] for j, w in a.items() if j in b), 9), t) for t, b in vec.items())
+        want += [(s, t, -x) for x, t in sims if x < 0][:6]
+    near = sessions.neighbors(v, v, p)
+    assert sorted(map(tuple, near.collect())) == sorted(want)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1  # no pair of sessions is shuffled
+
+
 def test_session_neighbors(spark):
     stored = sessions.truncated(log(spark, S1=views("a", "b"), S2=views("a")))
     p = sessions.Params(iuf_exponent=1.0)
