@@ -309,3 +309,19 @@ def test_results_do_not_depend_on_partitions(spark):
     for f, _, _, p in a:
         sums[f] = sums.get(f, 0) + p
     assert all(v == pytest.approx(1) for v in sums.values())
+
+
+def test_text_neighbors_compare_classes_of_copies(spark, monkeypatch):
+    words = [("a b", 9), ("a c", 3), ("b c d", 1), ("d e", 7), ("q", 2)]
+    listings = [(f"{k}{n}", t) for k, (t, copies) in enumerate(words) for n in range(copies)]
+    vectors = [(j, w, 1 / math.sqrt(len(t.split()))) for j, t in listings for w in t.split()]
+    met = []
+    pairs = text._pairs
+    monkeypatch.setattr(text, "_pairs", lambda a, b, name: met.append((a, b)) or pairs(a, b, name))
+    got = text.neighbors(spark.createDataFrame(vectors, "job_id string, term string, w double"), 4, 5)
+    want = []
+    for j, t in listings:
+        sims = sorted((-round(len(set(t.split()) & set(u.split())) / math.sqrt(len(t.split()) * len(u.split())), 6), i) for i, u in listings if i != j)
+        want += [(j, i, -s, n + 1) for n, (s, i) in enumerate([x for x in sims if x[0] < 0][:4])]
+    assert sorted((r["src"], r["dst"], r["sim"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert all(x.select("job_id").distinct().count() <= len(words) for x in met[0])

@@ -95,6 +95,36 @@ def _pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 def neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON_DF) -> DataFrame:
     """(src, dst, sim, rank): the nearest other listings by cosine, those that share a term; ties to the smaller id.
 
+    Listings with the same vector are one class, named by its smallest id; only
+    classes are compared. A listing's ``top_n`` others lie in its own class and in
+    the first ``top_n`` other classes, ordered by similarity and smallest id, and
+    are among the first ``top_n`` + 1 of each.
+    """
+    packed = vectors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w")))).alias("cells"))
+    same = Window.partitionBy("cells")
+    at = F.row_number().over(same.orderBy("job_id"))
+    listed = packed.select("job_id", F.min("job_id").over(same).alias("class"), at.alias("at"), F.count(F.lit(1)).over(same).alias("size"), "cells")
+    first = listed.where("at = 1").select("job_id")
+    apart = class_neighbors(vectors.join(first, "job_id", "left_semi"), top_n, common_df).select(F.col("src").alias("class"), F.col("dst").alias("near"), "sim")
+    # A class that k listings of nearer classes precede gives none of the k best.
+    sizes = listed.where("at = 1").select("class", "size", F.round(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * c["w"]), 6).alias("sim"))
+    own = sizes.select("class", F.col("class").alias("near"), "sim", (F.col("size") - 1).alias("size"))
+    met = apart.join(sizes.select(F.col("class").alias("near"), "size"), "near").select("class", "near", "sim", "size").unionByName(own)
+    nearer = Window.partitionBy("class").orderBy(F.col("sim").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = F.sum("size").over(Window.partitionBy("class", "sim"))
+    met = met.withColumn("_before", F.sum("size").over(nearer) - level).where(F.col("_before") < top_n)
+    members = listed.where(F.col("at") <= top_n + 1).select(F.col("class").alias("near"), F.col("job_id").alias("dst"), "at")
+    order = Window.partitionBy("class").orderBy(F.col("sim").desc(), "dst")
+    shared = met.join(members, "near").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n + 1)
+    lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "dst", "sim"))).alias("list"))
+    # one's own place is left out; a member behind the list's end was not in it
+    others = listed.select(F.col("job_id").alias("src"), "class").join(lists, "class").select("src", F.slice(F.filter("list", lambda x: x["dst"] != F.col("src")), 1, top_n).alias("list"))
+    return others.select("src", F.posexplode("list").alias("rank", "x")).select("src", F.col("x.dst").alias("dst"), F.col("x.sim").alias("sim"), (F.col("rank") + 1).alias("rank"))
+
+
+def class_neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON_DF) -> DataFrame:
+    """(src, dst, sim, rank): ``neighbors`` of listings whose vectors differ.
+
     Weights are not negative, so what common terms can add to a pair is at most the
     product of the two listings' norms on them. Pairs that share a rarer term are
     scored on those terms first; those that the common terms may lift into the
