@@ -3,6 +3,7 @@
 import math
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -325,3 +326,28 @@ def test_text_neighbors_compare_classes_of_copies(spark, monkeypatch):
         want += [(j, i, -s, n + 1) for n, (s, i) in enumerate([x for x in sims if x[0] < 0][:4])]
     assert sorted((r["src"], r["dst"], r["sim"], r["rank"]) for r in got.collect()) == sorted(want)
     assert all(x.select("job_id").distinct().count() <= len(words) for x in met[0])
+
+
+def test_adagrad_step_touches_its_rows_only():
+    side, pace, index, slope = np.zeros((4, 2)), np.full((4, 2), 1e-8), np.array([2, 0, 2]), np.array([[1.0, 2.0], [3.0, 0.0], [1.0, -1.0]])
+    pace[[1, 3]] = np.nan  # would spread to a row that is looked at
+    factors.climb(side, pace, index, slope, 0.5)
+    assert side[2].tolist() == pytest.approx([0.5, 0.5]) and side[0].tolist() == pytest.approx([0.5, 0.0]) and not side[[1, 3]].any()
+
+
+def test_item_item_sessions_meet_few_places(spark):
+    """One long session must not lengthen what every other one meets."""
+    rows = [("long", f"j{k:02}", "view", k) for k in range(40)] + [(f"s{n}", f"j{n % 5:02}", "view", 0) for n in range(20)]
+    history = spark.createDataFrame(rows, "session_id string, job_id string, action string, pos long")
+    x = itemitem.session_item_weights(history, None)
+    asked = history.select("session_id").distinct()
+    recs = itemitem.recommend(history, asked, x, itemitem.similarity(x), 3)
+    assert "explode(sequence(1" in recs._jdf.queryExecution().optimizedPlan().toString()  # places, not every session times the head
+    every = itemitem.predict(history, asked, history.select("job_id"), x, itemitem.similarity(x)).collect()
+    seen = {(r[0], r[1]) for r in rows}
+    want = []
+    for s in sorted({r[0] for r in rows}):
+        best = sorted((-r["score"], r["job_id"]) for r in every if r["session_id"] == s and (s, r["job_id"]) not in seen) if s in ("long", "s0", "s7") else []
+        want += [(s, n + 1, j) for n, (_, j) in enumerate(best[:3])]
+    got = [(r["session_id"], r["rank"], r["job_id"]) for r in recs.collect() if r["session_id"] in ("long", "s0", "s7")]
+    assert sorted(got) == sorted(want)
