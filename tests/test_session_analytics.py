@@ -351,3 +351,35 @@ def test_item_item_sessions_meet_few_places(spark):
         want += [(s, n + 1, j) for n, (_, j) in enumerate(best[:3])]
     got = [(r["session_id"], r["rank"], r["job_id"]) for r in recs.collect() if r["session_id"] in ("long", "s0", "s7")]
     assert sorted(got) == sorted(want)
+
+
+def test_markov_rankers_shuffle_lists_not_transitions(spark):
+    rows = log(spark, **{f"s{n}": views(*[str((n * j * j + j) % 9) for j in range(1, 3 + n % 5)]) for n in range(40)}, long=views(*[str(k % 9) for k in range(30)]))
+    history, truth = schema.split_last(rows)
+    trans = markov.transitions(history)
+    popular = markov.popular_jobs(trans)
+    scored = markov.session_scores(history, trans, recency=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate posexplode")]  # the first is the last operator
+    swept = {r["k"]: r["mrr"] for r in markov.k_sweep(history, truth, trans, popular).collect()}
+    for k in (1, 3, 5, 7, 10):
+        recs = markov.recommend_session(history, truth, trans, popular, last=k, recency=True)
+        assert swept[k] == metrics.mrr(recs, truth).first()["mrr"]
+
+
+def test_hybrid_and_padding_keep_one_row_a_session(spark):
+    rows = log(spark, **{f"s{n}": views(*[f"j{(n * j) % 11}" for j in range(1, 2 + n % 6)]) for n in range(30)})
+    share, asked = markov.job_share(rows), rows.select("session_id").unionByName(spark.createDataFrame([("cold",)], "session_id string")).distinct()
+    chain = markov.transitions(rows).select("from_job", "to_job", "prob")
+    got = markov.hybrid_tiers(rows, asked, chain, None, share, k=4, gate=500)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    seen, order = {}, [r["job_id"] for r in share.orderBy(F.col("share").desc(), "job_id").collect()]
+    for r in rows.collect():
+        seen.setdefault(r["session_id"], set()).add(r["job_id"])
+    few = spark.createDataFrame([("s3", 1, "j10"), ("cold", 1, "j1")], "session_id string, rank int, job_id string")
+    padded = {}
+    for r in markov.pad(few, asked, share, rows, 4).orderBy("session_id", "rank").collect():
+        padded.setdefault(r["session_id"], []).append(r["job_id"])
+    for s in [*seen, "cold"]:
+        own = {"s3": ["j10"], "cold": ["j1"]}.get(s, [])
+        assert padded.get(s, []) == (own + [j for j in order if j not in seen.get(s, set()) | set(own)])[:4]
