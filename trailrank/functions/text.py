@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailrank.functions.schema import dealt
+
 #: Letters whose accents are dropped before tokenising, and what is left of them. Fixed values.
 ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįıłñńňòóôõöøōőŕřśšşťțţùúûüūůűųýÿźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 PLAIN = "aaaaaaaaacccddeeeeeeeeiiiiiiilnnnoooooooorrssstttuuuuuuuuyyzzzAAAAAACEEEEIIIINOOOOOOUUUUY"
@@ -70,7 +72,8 @@ def tfidf(listings: DataFrame, min_df: int = 2, max_df: float = 0.95, max_featur
     listings; of more than ``max_features`` the most frequent stay, ties by term.
     Listings without text count in n.
     """
-    counts = listings.select("job_id", F.explode(ngrams(tokens(F.col("text")), upper)).alias("term")).groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dealt_once = dealt(listings.select("job_id", "text"), "job_id", times=8)  # terms of a listing are counted and weighed in its task
+    counts = dealt_once.select("job_id", F.explode(ngrams(tokens(F.col("text")), upper)).alias("term")).groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = listings.agg(F.count(F.lit(1)).alias("n"))
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).crossJoin(F.broadcast(total))
     terms = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
@@ -78,7 +81,7 @@ def tfidf(listings: DataFrame, min_df: int = 2, max_df: float = 0.95, max_featur
         terms = terms.orderBy(F.col("all").desc(), "term").limit(max_features)
     terms = terms.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    raw = counts.join(terms, "term").select("job_id", "term", (tf * F.col("idf")).alias("x"))
+    raw = counts.join(F.broadcast(terms) if max_features and max_features <= 100_000 else terms, "term").select("job_id", "term", (tf * F.col("idf")).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("job_id")))
     return raw.select("job_id", "term", (F.col("x") / norm).alias("w"))
 

@@ -35,9 +35,11 @@ def fit_logistic(features: DataFrame, targets: DataFrame, c: float = 1.0):
     from pyspark.ml.feature import VectorAssembler
 
     rows = features.join(targets.select("session_id", "action"), "session_id").select(F.col("trail_view").cast("double").alias("trail_view"), action_code(F.col("action")).cast("double").alias("label"))
-    ready = VectorAssembler(inputCols=["trail_view"], outputCol="features").transform(rows)
-    n = rows.count()
-    return LogisticRegression(regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(ready)
+    # the loss is a sum over rows, so equal rows are one row of their weight
+    counts = rows.groupBy("trail_view", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")).coalesce(1).persist()
+    ready = VectorAssembler(inputCols=["trail_view"], outputCol="features", handleInvalid="error").transform(counts)
+    n = int(counts.agg(F.sum("weight")).first()[0] or 0)
+    return LogisticRegression(weightCol="weight", regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(ready)
 
 
 def predict_logistic(model, features: DataFrame) -> DataFrame:
