@@ -58,7 +58,7 @@ def dealt(rows: DataFrame, *keys: str, like: DataFrame | None = None, times: flo
     shuffle partitions can take is left to Spark.
     """
     size = int(str((like or rows)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(-(-int(size * times) // TASK_BYTES), 20_000)
+    tasks = -(-int(size * times) // TASK_BYTES) if size < 1 << 45 else 0  # more is no guess: rows from Python, or a product of joins
     return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
 
 
