@@ -1,6 +1,7 @@
 """Hand-computed cases and edge cases of the session operators."""
 
 import math
+import random
 from dataclasses import replace
 
 import numpy as np
@@ -248,6 +249,47 @@ def test_content_scores_fall_back_to_priors(spark):
                 break
 
 
+@pytest.mark.parametrize(("pooling", "gram"), [("recency", 2048), ("max_sim", 0)])
+def test_blend_is_the_product_of_all_sessions_and_jobs(spark, monkeypatch, pooling, gram):
+    """Against every session times every job in numpy; sessions meet classes of jobs in groups of a few."""
+    for name, value in (("SESSIONS", 3), ("CLASSES", 4), ("GRAM", gram)):
+        monkeypatch.setattr(content, name, value)
+    words = ["red", "old", "big", "new", "ring", "bolt", "plate", "gear"]
+    rng = random.Random(4)
+    texts = {str(k): " ".join(rng.choice(words) for _ in range(1 + k % 4)) for k in range(30)} | {"30": "", "31": "zz unseen"}
+    rows = log(spark, **{f"s{n}": [(str((n * 7 + k * k) % 34), "apply" if k % 3 else "view") for k in range(n % 6 + 1)] for n in range(11)})
+    listings = spark.createDataFrame(list(texts.items()), "job_id string, text string")
+    jobs = sorted({r["job_id"] for r in rows.collect()} | set(texts))
+    p = content.Params(pooling=pooling, lsa_components=3, min_df=2)
+    known = rows.select("job_id").unionByName(listings.select("job_id"))
+    vectors = content.lexical_vectors(content.item_texts(known, listings, p), p)
+    candidates = spark.createDataFrame([(j,) for j in [*jobs[::2], "never"]], "job_id string")
+    found = content.blended_scores(rows, vectors, known, candidates, p)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["session_id"], r["job_id"]): r["score"] for r in found.collect()}
+
+    cells = vectors.collect()
+    at = {t: n for n, t in enumerate(sorted({r["term"] for r in cells}))}
+    a = np.zeros((len(jobs), len(at)))
+    for r in cells:
+        a[jobs.index(r["job_id"]), at[r["term"]]] = r["w"]
+    v = a @ np.linalg.svd(a, full_matrices=False)[2][:3].T
+    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+    unit = lambda x: np.zeros(len(x)) if np.ptp(x) < 1e-12 else (x - x.min()) / np.ptp(x)
+    want, history = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["pos"]):
+        if a[jobs.index(r["job_id"])].any():
+            history.setdefault(r["session_id"], []).append((jobs.index(r["job_id"]), (p.w_apply if r["action"] == "apply" else p.w_view)))
+    for session, items in history.items():
+        w = np.array([x * p.recency_decay ** (len(items) - 1 - n) for n, (_, x) in enumerate(items)])
+        w, read = w / w.sum(), [j for j, _ in items]
+        lexical = (w[:, None] * (a[read] @ a.T)).max(axis=0) if pooling == "max_sim" else w @ a[read] @ a.T
+        profile = w @ v[read]
+        score = p.blend_alpha_lexical * unit(lexical) + (1 - p.blend_alpha_lexical) * unit(v @ profile / max(np.linalg.norm(profile), 1e-12))
+        want |= {(session, j): s for j, s in zip(jobs, score, strict=True) if j in jobs[::2]}
+    assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want, abs=1e-7) and set(got) <= set(want) and len(got) > 50
+
+
 def test_normalisation(spark):
     rows = spark.createDataFrame([("s", j, x) for j, x in zip("abc", (2.0, 4.0, 3.0), strict=True)] + [("t", "a", 5.0), ("t", "b", 5.0), ("u", "a", float("nan"))], "session_id string, job_id string, score double")
     got = {(r["session_id"], r["job_id"]): r["score"] for r in scores.normalize(rows).collect()}
