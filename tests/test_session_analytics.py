@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trailrank.functions import metrics, schema, scores, text
 from trailrank.operators import action, content, ensemble, factors, graph, itemitem, markov, popularity, sessions
+from trailrank.plans import catalog
 from trailrank.sources import files
 
 LOG = "session_id string, job_id string, action string, pos long, session_ord long"
@@ -102,6 +103,31 @@ def test_transitions(spark):
     assert got["3"]["score"] == pytest.approx(0.833333, abs=1e-6) and got["2"]["score"] == pytest.approx(0.666667, abs=1e-6)
 
 
+def test_last_lists_are_the_recommended_rows(spark):
+    """One row a session gives the places, hits and checks of the rows, also with short, single and cold sessions."""
+    rows = log(spark, a=views("1", "2", "3"), b=views("1", "2"), c=views("9"), d=views("1", "3", "9"), e=views("3", "8"), f=views("7", "1", "2", "8"), g=views("2", None))
+    history, truth = schema.split_last(rows)
+    for known in (rows, rows.limit(0)):
+        trans = markov.transitions(known)
+        popular = markov.popular_jobs(trans, 3)
+        assert sorted(map(tuple, markov.popular_next(known, 3).collect())) == sorted(map(tuple, popular.collect()))
+        recs = markov.recommend_last(history, truth, trans, popular, 3).persist()
+        lists = markov.last_lists(markov.session_ends(rows), trans, popular, 3).persist()
+        assert sorted(map(tuple, markov.listed(lists).collect())) == sorted(map(tuple, recs.collect()))
+        for k in (1, 3):
+            assert table(metrics.list_hits(lists, k), "session_id") == table(metrics.hits(recs, truth, k), "session_id")
+            assert metrics.list_checks(lists, k).collect() == metrics.submission_checks(recs, truth, k).collect()
+    ends = markov.session_ends(rows)
+    said = action.last_action(history, truth)
+    assert table(action.last_of(ends), "session_id") == table(said, "session_id")
+
+
+@pytest.mark.parametrize("name", ["submission_checks"])
+def test_last_job_queries_shuffle_pairs_once_and_no_places(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(from_job") == 1 and plan.count("hashpartitioning(session_id") == 3
+
+
 def test_mrr_cases(spark):
     truth = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "session_id string, job_id string")
     recs = spark.createDataFrame([("a", 1, "1"), ("a", 2, "9"), ("b", 1, "9"), ("b", 2, "2"), ("c", 1, "9"), ("c", 2, "8")], "session_id string, rank int, job_id string")

@@ -29,6 +29,11 @@ def last_action(histories: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id").join(last, "session_id", "left").select("session_id", known.alias("action"))
 
 
+def last_of(ends: DataFrame) -> DataFrame:
+    """``last_action`` of the rows of ``markov.session_ends``, whose actions are not null."""
+    return ends.select("session_id", F.when(F.col("last_action").isin("view", "apply"), F.col("last_action")).otherwise("view").alias("action"))
+
+
 def fit_logistic(features: DataFrame, targets: DataFrame, c: float = 1.0):
     """Logistic regression of apply on ``trail_view``: L2 with strength 1 / (c n), free intercept, no scaling."""
     from pyspark.ml.classification import LogisticRegression
