@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailrank.functions.schema import action_code
@@ -25,13 +25,17 @@ def action_shares(features: DataFrame, targets: DataFrame, by: str) -> DataFrame
 def last_action(histories: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, action): the last action that is not null; ``view`` without history or for an unknown token."""
     last = histories.where("action IS NOT NULL").groupBy("session_id").agg(F.max_by("action", "pos").alias("said"))
-    known = F.when(F.col("said").isin("view", "apply"), F.col("said")).otherwise("view")
-    return sessions.select("session_id").join(last, "session_id", "left").select("session_id", known.alias("action"))
+    return sessions.select("session_id").join(last, "session_id", "left").select("session_id", said(F.col("said")).alias("action"))
+
+
+def said(last: Column) -> Column:
+    """The last action as a prediction; ``view`` without one or for an unknown token."""
+    return F.when(last.isin("view", "apply"), last).otherwise("view")
 
 
 def last_of(ends: DataFrame) -> DataFrame:
     """``last_action`` of the rows of ``markov.session_ends``, whose actions are not null."""
-    return ends.select("session_id", F.when(F.col("last_action").isin("view", "apply"), F.col("last_action")).otherwise("view").alias("action"))
+    return ends.select("session_id", said(F.col("last_action")).alias("action"))
 
 
 def fit_logistic(features: DataFrame, targets: DataFrame, c: float = 1.0):
