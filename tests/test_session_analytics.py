@@ -380,6 +380,18 @@ def test_results_do_not_depend_on_partitions(spark):
     assert all(v == pytest.approx(1) for v in sums.values())
 
 
+def test_terms_are_not_broadcast_and_vectors_are_made_once(spark, tmp_path):
+    """The counts of terms are guessed from the listings' small file; neighbours hold the plan of the vectors once."""
+    spark.createDataFrame([(str(n), f"w{n % 7} x{n % 5} y") for n in range(70)], "job_id string, text string").write.parquet(str(tmp_path / "listings"))
+    vectors = text.tfidf(spark.read.parquet(str(tmp_path / "listings")), min_df=3, max_df=1.0, max_features=None, sublinear=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(vectors)
+    near = text.neighbors(vectors, 5)
+    optimized = near._jdf.queryExecution().optimizedPlan()
+    assert not [n for n in optimized.collectLeaves().mkString("|").split("|") if "parquet" in n and "InMemoryRelation" not in n]
+    assert near.count() > 0
+
+
 def test_text_neighbors_compare_classes_of_copies(spark, monkeypatch):
     words = [("a b", 9), ("a c", 3), ("b c d", 1), ("d e", 7), ("q", 2)]
     listings = [(f"{k}{n}", t) for k, (t, copies) in enumerate(words) for n in range(copies)]

@@ -81,7 +81,8 @@ def tfidf(listings: DataFrame, min_df: int = 2, max_df: float = 0.95, max_featur
         terms = terms.orderBy(F.col("all").desc(), "term").limit(max_features)
     terms = terms.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    raw = counts.join(F.broadcast(terms) if max_features and max_features <= 100_000 else terms, "term").select("job_id", "term", (tf * F.col("idf")).alias("x"))
+    # Spark guesses the counts from the listings' file, not from their terms, so it would send all of them to every task.
+    raw = counts.join(F.broadcast(terms) if max_features and max_features <= 100_000 else terms.hint("merge"), "term").select("job_id", "term", (tf * F.col("idf")).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("job_id")))
     return raw.select("job_id", "term", (F.col("x") / norm).alias("w"))
 
@@ -101,12 +102,14 @@ def neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON_DF) -
     Listings with the same vector are one class, named by its smallest id; only
     classes are compared. A listing's ``top_n`` others lie in its own class and in
     the first ``top_n`` other classes, ordered by similarity and smallest id, and
-    are among the first ``top_n`` + 1 of each.
+    are among the first ``top_n`` + 1 of each. What is read more than once is kept,
+    so a plan holds the steps before it once.
     """
+    vectors = vectors.persist()
     packed = vectors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w")))).alias("cells"))
     same = Window.partitionBy("cells")
     at = F.row_number().over(same.orderBy("job_id"))
-    listed = packed.select("job_id", F.min("job_id").over(same).alias("class"), at.alias("at"), F.count(F.lit(1)).over(same).alias("size"), "cells")
+    listed = packed.select("job_id", F.min("job_id").over(same).alias("class"), at.alias("at"), F.count(F.lit(1)).over(same).alias("size"), "cells").persist()
     first = listed.where("at = 1").select("job_id")
     apart = class_neighbors(vectors.join(first, "job_id", "left_semi"), top_n, common_df).select(F.col("src").alias("class"), F.col("dst").alias("near"), "sim")
     # A class that k listings of nearer classes precede gives none of the k best.
@@ -134,12 +137,15 @@ def class_neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON
     ``top_n`` are scored exactly. A listing whose last place stays within reach of
     pairs without a rarer term, which is rare, meets all listings by all terms.
     """
+    vectors = vectors.persist()
     df = vectors.groupBy("term").agg((F.count(F.lit(1)) > common_df).alias("common"))
     marked = vectors.join(df, "term")
     rare, common = marked.where("NOT common"), marked.where("common")
-    parts = common.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = common.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).persist()
     most = parts.agg(F.coalesce(F.max("norm"), F.lit(0.0)).alias("most"))
     side = lambda c, m, n: parts.select(F.col("job_id").alias(c), F.col("m").alias(m), F.col("norm").alias(n))
+    # a fixed number of tasks: few bytes of terms make many pairs
+    rare = rare.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term")
     near = _pairs(rare, rare, "part").join(side("src", "ma", "na").drop("ma"), "src", "left").join(side("dst", "mb", "nb").drop("mb"), "dst", "left").na.fill(0.0, ["na", "nb"])
     at = F.row_number().over(Window.partitionBy("src").orderBy(F.col("part").desc()))
     last = F.max(F.when(F.col("at") == top_n, F.col("part"))).over(Window.partitionBy("src"))
@@ -149,7 +155,7 @@ def class_neighbors(vectors: DataFrame, top_n: int = 50, common_df: int = COMMON
     shared = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
     exact = both.select("src", "dst", F.round(F.col("part") + F.coalesce(shared, F.lit(0.0)), 6).alias("sim"))
     order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    ranked = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    ranked = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).persist()
     ends = ranked.groupBy("src").agg(F.max("rank").alias("have"), F.min("sim").alias("end"))
     reach = parts.select(F.col("job_id").alias("src"), "norm").crossJoin(F.broadcast(most)).join(ends, "src", "left")
     short = (F.coalesce("have", F.lit(0)) < top_n) | (F.col("norm") * F.col("most") + slack >= F.col("end"))
