@@ -463,3 +463,21 @@ def test_hybrid_and_padding_keep_one_row_a_session(spark):
     for s in [*seen, "cold"]:
         own = {"s3": ["j10"], "cold": ["j1"]}.get(s, [])
         assert padded.get(s, []) == (own + [j for j in order if j not in seen.get(s, set()) | set(own)])[:4]
+
+
+def test_item_item_lists_are_unfolded_in_the_sessions_task(spark):
+    """A job's neighbours are shuffled as one list, no scored job of a session is; repeated and unknown jobs, sessions without history."""
+    rows = [(f"s{n:02}", f"j{(n * k * k + k) % 11:02}", ("view", "apply")[(n + k) % 2], k) for n in range(30) for k in range(1 + n % 6)]
+    log_ = spark.createDataFrame(rows, "session_id string, job_id string, action string, pos long")
+    x = itemitem.session_item_weights(log_.where("session_id < 's25'"), None)
+    asked = log_.select("session_id").distinct().unionByName(spark.createDataFrame([("new",)], "session_id string"))
+    sim = itemitem.similarity(x).persist()
+    recs = itemitem.recommend(log_, asked, x, sim, 3)
+    plan = recs._jdf.queryExecution().executedPlan().toString()
+    assert "cells" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(session_id" in line and "job_j" in line]
+    every = itemitem.predict(log_, asked, x.select("job_id"), x, sim).collect()
+    seen, want = {(r[0], r[1]) for r in rows}, []
+    for s in sorted({r["session_id"] for r in every}):
+        best = sorted((-round(r["score"], 12), r["job_id"]) for r in every if r["session_id"] == s and (s, r["job_id"]) not in seen)
+        want += [(s, n + 1, j) for n, (_, j) in enumerate(best[:3])]
+    assert sorted((r["session_id"], r["rank"], r["job_id"]) for r in recs.collect()) == sorted(want)
